@@ -32,3 +32,17 @@ def op10_simhash_groups(spark, sf_dir):
     from recallgrid.llm.simhash import near_duplicate_groups
 
     return near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_best_fit_packing(spark, sf_dir):
+    from recallgrid.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_quality_scores(spark, sf_dir):
+    from recallgrid.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
