@@ -46,3 +46,26 @@ def op2_quality_scores(spark, sf_dir):
     from recallgrid.llm.quality import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_temperature_mix(spark, sf_dir):
+    from recallgrid.llm.mixing import mix_schedule
+
+    return mix_schedule(table(spark, sf_dir, "documents"))
+
+
+def _mixing_sql() -> str:
+    from recallgrid.llm.mixing import ORACLE
+
+    return ORACLE
+
+
+SQL["op8_temperature_mix"] = _mixing_sql()
+
+
+@query
+def op3_secret_findings(spark, sf_dir):
+    from recallgrid.llm.secrets import findings
+
+    return findings(table(spark, sf_dir, "documents"))
