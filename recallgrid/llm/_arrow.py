@@ -53,7 +53,7 @@ def utf8_parts(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_slices(arr: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def row_slices(arr: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about max_bytes of text each; a longer text has a range of its own."""
     _, off = utf8_parts(arr)
     i, n = 0, len(arr)

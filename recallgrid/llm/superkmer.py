@@ -66,10 +66,10 @@ def _pack(head: list[np.ndarray], body: list[bytes]) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
+def _unpack(blob: memoryview) -> tuple[np.ndarray, memoryview]:
     raw = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    return np.frombuffer(raw, HEAD, n, 8), raw[8 + n * HEAD.itemsize :]
+    return np.frombuffer(raw, HEAD, n, 8), memoryview(raw)[8 + n * HEAD.itemsize :]
 
 
 def shuffled_super_kmers(docs: DataFrame, id_col: str, text_col: str, k: int, m: int) -> DataFrame:
@@ -125,7 +125,7 @@ class Group:
         self.text, self.at, self.windows, self.low, self.high, self.rows, self.many = [], [], [], [], [], [], []
 
 
-def shared_groups(blobs: list[bytes]) -> Iterator[tuple[Group, np.ndarray]]:
+def shared_groups(blobs: Iterator[memoryview]) -> Iterator[tuple[Group, np.ndarray]]:
     """Groups of super-k-mers of one minimiser that occurs in two documents at least."""
     parts = [_unpack(b) for b in blobs]
     if not parts:
@@ -142,7 +142,7 @@ def shared_groups(blobs: list[bytes]) -> Iterator[tuple[Group, np.ndarray]]:
         g, seen = Group(), {}
         for r in rows.tolist():
             h = head[r]
-            p = (parts[part[r]][1][where[r] : where[r] + h["size"]], int(h["at"]))
+            p = (bytes(parts[part[r]][1][where[r] : where[r] + h["size"]]), int(h["at"]))
             i = seen.get(p)
             d = int(h["doc"])
             if i is None:
@@ -203,7 +203,7 @@ def spans(docs: DataFrame, count: Callable[[Iterator[tuple[Group, np.ndarray]],
     exclusive, copies is the largest number of occurrences of any of its windows."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x for b in batches for x in b.column(1).to_pylist()]
+        blobs = (memoryview(x.as_buffer()) for b in batches for x in b.column(1))
         into = {"doc": [], "lo": [], "hi": [], "n": []}
         for g, head, counts in count(shared_groups(blobs), k):
             runs(g, head, counts, into)
