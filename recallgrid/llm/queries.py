@@ -69,3 +69,33 @@ def op3_secret_findings(spark, sf_dir):
     from recallgrid.llm.secrets import findings
 
     return findings(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_toxic_severity(spark, sf_dir):
+    from recallgrid.llm.toxicity import severity
+
+    return severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_media_columns(spark, sf_dir):
+    from recallgrid.llm.jpeg import media_columns, with_picture
+
+    return media_columns(with_picture(table(spark, sf_dir, "pages").select("page_id", "html")), "media", "page_id")
+
+
+@query
+def op4_mtree_neighbors(spark, sf_dir):
+    from recallgrid.llm.mtree import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def _nearest_sql() -> str:
+    from recallgrid.llm.mtree import ORACLE
+
+    return ORACLE
+
+
+SQL["op4_mtree_neighbors"] = _nearest_sql()
