@@ -50,6 +50,7 @@ class MTree:
             parts += [p[half[cut:]], p[half[:cut]]]
         self.order = np.concatenate(done) if done else np.zeros(0, np.int64)
         self.ids, self.x = ids[self.order], x[self.order]
+        self.xx = (self.x * self.x).sum(1)
         self.page = np.concatenate(([0], np.cumsum([len(p) for p in done]))).astype(np.int64)
         m = len(done)
         center = np.array([self.x[a:b].mean(0) for a, b in zip(self.page[:-1], self.page[1:])]).reshape(m, x.shape[1])
@@ -68,7 +69,7 @@ class MTree:
         empty places are -1 with an infinite distance. The last value counts the distances that were computed."""
         n, m = len(q), len(self.radius)
         best_d, best_i = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
-        tau = limit.astype(np.float64).copy()
+        tau, qq = limit.astype(np.float64).copy(), (q * q).sum(1)
         if not m or not n:
             return best_d, best_i, 0
         d_top = dist(q, self.x[self.top])
@@ -98,12 +99,17 @@ class MTree:
                 at = np.flatnonzero(some) + a
                 if not len(at):
                     continue
-                d = dist(q[who], self.x[at])
-                d[~may[:, some] | (self.ids[at][None, :] == own[who][:, None])] = np.inf
-                few = np.argsort(d, 1, kind="stable")[:, : 2 * k]  # more than k, for ties in the rounded distance
-                both_d, both_i = np.take_along_axis(d, few, 1), at[few]
-                both_i = np.where(np.isinf(both_d), -1, both_i)
-                both_d, both_i = np.concatenate((best_d[who], both_d), 1), np.concatenate((best_i[who], both_i), 1)
+                d = np.sqrt(np.maximum(qq[who][:, None] + self.xx[at][None, :] - 2 * (q[who] @ self.x[at].T), 0))
+                may = may[:, some] & (d <= tau[who][:, None] + SLACK) & (self.ids[at][None, :] != own[who][:, None])
+                new = np.flatnonzero(may.any(1))
+                if not len(new):
+                    continue
+                who, d = who[new], np.where(may[new], d[new], np.inf)
+                if len(at) > 2 * k:  # more than k, for ties in the rounded distance
+                    few = np.argpartition(d, 2 * k, 1)[:, : 2 * k]
+                    d, at = np.take_along_axis(d, few, 1), at[few]
+                both_d = np.concatenate((best_d[who], d), 1)
+                both_i = np.concatenate((best_i[who], np.where(np.isinf(d), -1, np.broadcast_to(at, d.shape))), 1)
                 rank = np.lexsort((np.where(both_i >= 0, self.ids[both_i], np.iinfo(np.int64).max), np.round(both_d, 9)), axis=1)[:, :k]
                 best_d[who], best_i[who] = np.take_along_axis(both_d, rank, 1), np.take_along_axis(both_i, rank, 1)
                 tau[who] = np.minimum(tau[who], best_d[who, k - 1])
@@ -127,7 +133,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     """
     spark = vectors.sparkSession
     shared_dir(spark)
-    v = F.transform(F.col(vector_col), lambda e: e.cast("double"))
+    kind = "float" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "double"
+    v = F.transform(F.col(vector_col), lambda e: e.cast(kind))  # floats travel as they are; distances are in double precision
     clean = vectors.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0").where(~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
     one = clean.groupBy("id").agg(F.min("v").alias("v")).checkpoint()
     sizes = one.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -148,18 +155,18 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 g = d.argmin(1)
                 yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(d[np.arange(len(x)), g]), b.column(0), b.column(1)], names=["g", "d", "id", "v"])
 
-    placed = one.mapInArrow(assign, "g int, d double, id bigint, v array<double>").checkpoint()
+    placed = one.mapInArrow(assign, f"g int, d double, id bigint, v array<{kind}>").checkpoint()
 
     def search(key, objects: pa.Table, queries: pa.Table) -> pa.Table:
         tree = MTree(objects.column("id").to_numpy(), _vectors(objects.column("v"))) if len(objects) else None
         rows = []
         if tree is not None and len(queries):
             q, own, limit = _vectors(queries.column("v")), queries.column("id").to_numpy(), queries.column("tau").to_numpy()
-            for i in range(0, len(q), 1024):
-                d, at, _ = tree.search(q[i : i + 1024], own[i : i + 1024], k, limit[i : i + 1024])
+            for i in range(0, len(q), 16384):  # many queries a page at a time
+                d, at, _ = tree.search(q[i : i + 16384], own[i : i + 16384], k, limit[i : i + 16384])
                 r, c = np.nonzero(at >= 0)
-                exact = np.sqrt(((q[i : i + 1024][r] - tree.x[at[r, c]]) ** 2).sum(1))
-                rows.append((own[i : i + 1024][r], tree.ids[at[r, c]], exact))
+                exact = np.sqrt(((q[i : i + 16384][r] - tree.x[at[r, c]]) ** 2).sum(1))
+                rows.append((own[i : i + 16384][r], tree.ids[at[r, c]], exact))
         a, b, e = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": pa.array(a, pa.int64()), "neighbor_id": pa.array(b, pa.int64()), "d": pa.array(e, pa.float64())})
 
@@ -185,7 +192,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
                 at = pa.array(row[i : i + 20_000])
                 yield pa.RecordBatch.from_arrays([pa.array(to[i : i + 20_000].astype(np.int32)), b.column(0).take(at), b.column(1).take(at), b.column(3).take(at)], names=["g", "id", "v", "tau"])
 
-    asked = placed.join(kth, "id", "left").select("id", "v", "g", F.coalesce("tau", F.lit(float("inf"))).alias("tau")).mapInArrow(visit, "g int, id bigint, v array<double>, tau double")
+    asked = placed.join(kth, "id", "left").select("id", "v", "g", F.coalesce("tau", F.lit(float("inf"))).alias("tau")).mapInArrow(visit, f"g int, id bigint, v array<{kind}>, tau double")
     away = placed.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(search, found)
     both = home.unionByName(away).withColumn("neighbor_rank", F.row_number().over(order)).where(F.col("neighbor_rank") <= k)
     return both.select("query_id", F.col("neighbor_rank").cast("int").alias("neighbor_rank"), "neighbor_id", F.round("d", 6).alias("distance"))
