@@ -20,24 +20,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from recallgrid.llm._arrow import shared_dir
-from recallgrid.llm.superkmer import Group, K, M, spans
+from recallgrid.llm.superkmer import Group, K, M, spans, windows_shared
 
-PILE_WORDS = 400_000
+PILE_WORDS = 200_000
 
 
 class Files:
-    """Arrays as files of a folder, read and written as streams."""
+    """Arrays as files of a folder, read and written as streams; a successor is a new file and its predecessor goes."""
 
     def __init__(self, uri: str):
         self.fs, self.path = fs.FileSystem.from_uri(uri)
         self.fs.create_dir(self.path, recursive=True)
+        self.now: dict[str, str] = {}
+        self.made = 0
 
     def write(self, name: str, x: np.ndarray) -> None:
-        with self.fs.open_output_stream(posixpath.join(self.path, name)) as f:
+        path, self.made = posixpath.join(self.path, f"{name}-{self.made}"), self.made + 1
+        with self.fs.open_output_stream(path) as f:
             f.write(x.data)
+        if name in self.now:
+            self.fs.delete_file(self.now[name])
+        self.now[name] = path
 
     def read(self, name: str, dtype) -> np.ndarray:
-        with self.fs.open_input_stream(posixpath.join(self.path, name)) as f:
+        with self.fs.open_input_stream(self.now[name]) as f:
             return np.frombuffer(f.read(), dtype)
 
     def close(self) -> None:
@@ -63,19 +69,18 @@ def suffix_order(flat: np.ndarray, begin: np.ndarray, files: Files) -> tuple[np.
     empty suffixes come first.
     """
     length = np.diff(begin)
-    m = len(length)
+    m, rounds = len(length), int(np.diff(begin).max()) if len(begin) > 1 else 0
+    symbols = np.uint16 if not len(flat) or flat.max() < 1 << 16 else np.uint32  # 16 bits sort by radix
+    prefixes = np.uint8 if rounds < 1 << 8 else np.uint32
     place = np.arange(m)
-    files.write("bwt", np.where(length > 0, flat[np.maximum(begin[1:] - 1, 0)], 0).astype(np.int32))
-    files.write("lcp", np.zeros(m, np.int32))
-    files.write("who", np.arange(m, dtype=np.int32))
-    files.write("len", np.zeros(m, np.int32))
-    for done in range(int(length.max()) if m else 0):
-        bwt, lcp, who, size = (files.read(x, np.int32) for x in ("bwt", "lcp", "who", "len"))
+    files.write("bwt", np.where(length > 0, flat[np.maximum(begin[1:] - 1, 0)], 0).astype(symbols))
+    files.write("lcp", np.zeros(m, prefixes))
+    for done in range(rounds):
+        bwt, lcp = files.read("bwt", symbols), files.read("lcp", prefixes)
         live = np.flatnonzero(length > done)
         at = place[live]
         order = np.argsort(bwt, kind="stable")
-        skip = int(np.searchsorted(bwt[order], 1))  # strings that are complete have no symbol
-        order = order[skip:]
+        order = order[len(bwt) - np.count_nonzero(bwt) :]  # strings that are complete have no symbol
         target = np.empty(len(bwt), np.int64)
         target[order] = m + np.arange(len(order))
         symbol = bwt[order]
@@ -83,33 +88,39 @@ def suffix_order(flat: np.ndarray, begin: np.ndarray, files: Files) -> tuple[np.
         new_at = target[at]
         # common prefix with the neighbour before and after that starts with the same symbol
         spot = new_at - m
-        pre, post = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+        pre, post = np.zeros(len(at), prefixes), np.zeros(len(at), prefixes)
         has = np.flatnonzero((spot > 0) & np.concatenate(([False], same))[spot])
         pre[has] = 1 + _range_min(lcp, order[spot[has] - 1] + 1, at[has] + 1)
         nxt = np.flatnonzero((spot < len(order) - 1) & np.concatenate((same, [False]))[spot])
         post[nxt] = 1 + _range_min(lcp, at[nxt] + 1, order[spot[nxt] + 1] + 1)
-        by = np.argsort(new_at)
-        new_at, live, pre, post = new_at[by], live[by], pre[by], post[by]
         total = len(bwt) + len(live)
         old = np.ones(total, bool)
         old[new_at] = False
         left = length[live] - done - 1
         before = np.where(left > 0, flat[np.maximum(begin[live] + left - 1, 0)], 0)
-        out = {}
-        for name, was, fill in (("bwt", bwt, before), ("lcp", lcp, pre), ("who", who, live), ("len", size, done + 1)):
-            x = np.empty(total, np.int32)
-            x[old], x[new_at] = was, fill
-            out[name] = x
-        after = new_at + 1
-        ok = after < total
-        ok[ok] &= old[after[ok]]
-        out["lcp"][after[ok]] = post[ok]
-        old_at = np.flatnonzero(old)
-        place = old_at[place]
+        next_bwt, next_lcp = np.empty(total, symbols), np.empty(total, prefixes)
+        next_bwt[old], next_bwt[new_at] = bwt, before
+        next_lcp[old], next_lcp[new_at] = lcp, pre
+        ok = new_at + 1 < total
+        ok[ok] &= old[new_at[ok] + 1]
+        next_lcp[new_at[ok] + 1] = post[ok]
+        place = np.flatnonzero(old)[place]
         place[live] = new_at
-        for name, x in out.items():
-            files.write(name, x)
-    return tuple(files.read(x, np.int32) for x in ("who", "len", "lcp"))
+        files.write("bwt", next_bwt)
+        files.write("lcp", next_lcp)
+    bwt = files.read("bwt", symbols)
+    order = np.argsort(bwt, kind="stable")
+    order = order[len(bwt) - np.count_nonzero(bwt) :]
+    to = np.empty(len(bwt), np.int64)
+    to[order] = m + np.arange(len(order))
+    who, size = np.empty(len(bwt), np.int64), np.zeros(len(bwt), np.int64)
+    at, live = np.arange(m), np.arange(m)
+    who[at] = live
+    for done in range(rounds):  # from each empty suffix to the longer ones, by the transform alone
+        go = length[live] > done
+        live, at = live[go], to[at[go]]
+        who[at], size[at] = live, done + 1
+    return who, size, files.read("lcp", prefixes)
 
 
 def pile_counts(pile: list[Group], k: int, files: Files) -> list[list[np.ndarray]]:
@@ -157,6 +168,9 @@ def suffix_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         try:
             for g, head in groups:
                 files = files or Files(f"{folder}/{task.partitionId()}-{task.taskAttemptId()}")
+                if len(g.text) == 1:  # equal strings are one already
+                    yield g, head, windows_shared(g, k)
+                    continue
                 pile.append(g)
                 heads.append(head)
                 words += sum(g.windows) + (k - 1) * len(g.windows)
