@@ -1,4 +1,6 @@
 """Registry of the queries over the driver's tables."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from recallgrid.plans import q_text
+from recallgrid.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "q_text"]
