@@ -120,42 +120,20 @@ def fit_ordinal(row: np.ndarray, term: np.ndarray, x: np.ndarray, grade: np.ndar
     return w, np.concatenate(([c[0]], c[0] + np.cumsum(np.exp(c[1:]))))
 
 
-def train(texts: list[str], toxic: np.ndarray, z_least: float = 3.0, docs_least: int = 3, precision: float = 0.98) -> Ordinal:
-    """The model from labelled texts; a fifth is held out to place the threshold on P(grade >= 1): the least one (0.2 to 0.8) that has
-    ``precision`` there."""
-    none = Ordinal(np.zeros(0, U), np.zeros(0), np.arange(1.0, GRADES + 1), 0.5)
-    if not len(texts) or not toxic.any() or toxic.all():
-        return none
-    arr = pa.array(texts, pa.large_string())
-    parts = [(i, term_block(arr.slice(i, j - i))) for i, j in row_slices(arr)]
-    row, h, times = (np.concatenate(v) for v in zip(*[(p[0] + i, p[1], p[2]) for i, p in parts]))
-    words = np.concatenate([p[3] for _, p in parts])
-    held = np.arange(len(texts)) % 5 == 4
-    use = ~held[row]
-    terms, of = np.unique(h[use], return_inverse=True)
-    tox = toxic[row[use]] > 0
-    a, b = np.bincount(of[tox], minlength=len(terms)), np.bincount(of[~tox], minlength=len(terms))
-    na, nb = int((toxic[~held] > 0).sum()), int((toxic[~held] == 0).sum())
-    log_odds = np.log((a + 0.5) / (na - a + 0.5)) - np.log((b + 0.5) / (nb - b + 0.5))
-    z = log_odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    keep = (z >= z_least) & (a >= docs_least) & (log_odds > 1.5)
-    if not keep.any():
-        return none
-    terms = terms[keep]
-    at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-    hit = terms[at] == h
-    row, term, times = row[hit], at[hit], times[hit]
+NONE = Ordinal(np.zeros(0, U), np.zeros(0), np.arange(1.0, GRADES + 1), 0.5)
+
+
+def fit(terms: np.ndarray, row: np.ndarray, term: np.ndarray, times: np.ndarray, words: np.ndarray, toxic: np.ndarray, held: np.ndarray, precision: float = 0.98) -> Ordinal:
+    """The model from the known terms (row, term, times) of labelled texts; on the held-out ones the threshold on
+    P(grade >= 1) is placed: the least one (0.2 to 0.8) that has ``precision`` there."""
     x = values(times, words[row])
-    share = np.bincount(row, times, len(texts)) / np.maximum(words, 1)
-    grade = np.zeros(len(texts), np.int64)
+    share = np.bincount(row, times, len(words)) / np.maximum(words, 1)
+    grade = np.zeros(len(words), np.int64)
     marked = toxic > 0
-    q = np.quantile(share[marked], [1 / 3, 2 / 3])
-    grade[marked] = 1 + np.searchsorted(q, share[marked], side="right")
-    fit = ~held
-    at_row = np.cumsum(fit) - 1
-    use = fit[row]
-    weight, cuts = fit_ordinal(at_row[row[use]], term[use], x[use], grade[fit], len(terms))
-    p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weight[term] * x, len(texts)) - cuts[0], -40, 40)))
+    grade[marked] = 1 + np.searchsorted(np.quantile(share[marked], [1 / 3, 2 / 3]), share[marked], side="right")
+    use, at = ~held[row], np.cumsum(~held) - 1
+    weight, cuts = fit_ordinal(at[row[use]], term[use], x[use], grade[~held], len(terms))
+    p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weight[term] * x, len(words)) - cuts[0], -40, 40)))
     best = 0.8
     for t in np.arange(0.8, 0.19, -0.02):
         said = held & (p >= t)
@@ -165,19 +143,50 @@ def train(texts: list[str], toxic: np.ndarray, z_least: float = 3.0, docs_least:
     return Ordinal(terms, weight, cuts, best)
 
 
-def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Ordinal:
-    """As train, over at most ``sample_rows`` labelled documents: all toxic ones before others."""
-    lab = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).select(F.col(id_col).cast("bigint").alias("lab_id"), F.col("toxic").cast("int").alias("lab_y")).distinct()
-    toxic, other = (bounded_sample(lab.where(c), "lab_id", sample_rows // 2) for c in ("lab_y > 0", "lab_y <= 0"))
-    want = toxic.unionByName(other)
+def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, z_least: float = 3.0, docs_least: int = 3) -> Ordinal:
+    """The model from at most ``sample_rows`` labelled documents, half of them toxic where there are as many.
+
+    A fifth is held out. Terms are counted where the texts are; the driver gets the terms that tell (z of the log odds
+    ``z_least`` at least, in ``docs_least`` toxic texts at least) and, of each text, only those terms.
+    """
+    lab = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).select(F.col(id_col).cast("bigint").alias("lab_id"), (F.col("toxic").cast("int") > 0).cast("int").alias("lab_y")).distinct()
+    want = bounded_sample(lab.where("lab_y = 1"), "lab_id", sample_rows // 2).unionByName(bounded_sample(lab.where("lab_y = 0"), "lab_id", sample_rows // 2))
     have = docs.select(F.col(id_col).cast("bigint").alias("lab_id"), F.col(text_col).cast("string").alias("lab_text")).where("lab_text is not null and lab_text <> ''")
-    few = have.join(F.broadcast(want), "lab_id")  # want has sample_rows rows at most
-    texts, y = [], []
-    for r in few.toLocalIterator():  # a partition at a time
-        texts.append((r["lab_id"], r["lab_y"], r["lab_text"]))
-    texts.sort()
-    y = np.array([t[1] for t in texts], np.int64)
-    return train([t[2] for t in texts], (y > 0).astype(np.int64))
+    held = (F.pmod(F.xxhash64("lab_id"), F.lit(5)) == 4).cast("int").alias("held")
+    few = have.join(F.broadcast(want), "lab_id").select("lab_id", "lab_y", held, "lab_text")  # want has sample_rows rows at most
+
+    def count(batches):
+        for b in batches:
+            y = b.column(1).to_numpy()
+            for i, j in row_slices(b.column(3)):
+                row, h, _, _ = term_block(b.column(3).slice(i, j - i))
+                terms, of = np.unique(h, return_inverse=True)
+                a = np.bincount(of, y[i:j][row], len(terms)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(a), pa.array(np.bincount(of, minlength=len(terms)) - a)], names=["h", "a", "b"])
+
+    fitted = few.where("held = 0")
+    sides = {r["lab_y"]: r["count"] for r in fitted.groupBy("lab_y").count().collect()}
+    na, nb = sides.get(1, 0), sides.get(0, 0)
+    if not na or not nb:
+        return NONE
+    odds = F.ln((F.col("a") + 0.5) / (F.lit(na) - F.col("a") + 0.5)) - F.ln((F.col("b") + 0.5) / (F.lit(nb) - F.col("b") + 0.5))
+    df = fitted.mapInArrow(count, "h bigint, a bigint, b bigint").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= docs_least).withColumn("odds", odds)
+    told = df.where((F.col("odds") > 1.5) & (F.col("odds") / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5)) >= z_least)).select("h").collect()  # bounded by the sample
+    terms = np.sort(np.array([r[0] for r in told], np.int64).view(U))
+    if not len(terms):
+        return NONE
+
+    def known(batches):
+        for b in batches:
+            for i, j in row_slices(b.column(3)):
+                row, term, times, words = known_terms(b.column(3).slice(i, j - i), terms)
+                off = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in range(3)), pa.array(words), pa.ListArray.from_arrays(off, pa.array(term)), pa.ListArray.from_arrays(off, pa.array(times))], names=["lab_id", "lab_y", "held", "words", "term", "times"])
+
+    rows = few.mapInArrow(known, "lab_id bigint, lab_y int, held int, words bigint, term array<bigint>, times array<bigint>").orderBy("lab_id", "lab_y", "words").toPandas()  # sample_rows rows of a few numbers
+    size = rows["term"].map(len).to_numpy()
+    flat = [np.concatenate(rows[c].tolist()).astype(np.int64) if size.sum() else np.zeros(0, np.int64) for c in ("term", "times")]
+    return fit(terms, np.repeat(np.arange(len(rows)), size), *flat, rows["words"].to_numpy(), rows["lab_y"].to_numpy(), rows["held"].to_numpy() > 0)
 
 
 def severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
