@@ -157,7 +157,7 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """
     h, *_ = fresh(df.columns, "sample_hash")
     hashed = df.withColumn(h, F.xxhash64(F.lit(17), F.col(key)))
-    n = df.count()
-    if n > 2 * rows:
-        hashed = hashed.where(F.col(h) <= int(-(2**63) + 2**64 * (1.5 * rows + 20) / n))
+    share = (1.5 * rows + 20) / max(df.count(), 1)
+    if share < 1:
+        hashed = hashed.where(F.col(h) <= int(-(2**63) + 2**64 * share))
     return hashed.orderBy(h, key).limit(rows).drop(h)
