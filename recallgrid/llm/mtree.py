@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from recallgrid.llm._arrow import bounded_sample, partitions, shared_dir
 
 K, PAGE, FAN, GROUP = 10, 64, 16, 4096
-SLACK = 1e-6  # for the rounding of computed distances
+SLACK = 1e-7  # of the largest norm, for the rounding of distances that come from dot products
 
 
 def dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -70,6 +70,7 @@ class MTree:
         n, m = len(q), len(self.radius)
         best_d, best_i = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
         tau, qq = limit.astype(np.float64).copy(), (q * q).sum(1)
+        slack = SLACK * (1 + float(np.sqrt(max(qq.max(initial=0), self.xx.max(initial=0)))))
         if not m or not n:
             return best_d, best_i, 0
         d_top = dist(q, self.x[self.top])
@@ -78,7 +79,7 @@ class MTree:
         cost, active = n * len(self.top), np.arange(n)
         for step in range(m):
             p = line[active, step]
-            go = bound[active, p] <= tau[active] + SLACK
+            go = bound[active, p] <= tau[active] + slack
             active, p = active[go], p[go]  # a later bound is greater still
             if not len(active):
                 break
@@ -89,27 +90,30 @@ class MTree:
                 a, b = self.page[page], self.page[page + 1]
                 to_route = dist(q[who], self.x[self.route[page] : self.route[page] + 1])[:, 0]
                 cost += len(who)
-                ok = to_route - self.radius[page] <= tau[who] + SLACK
+                ok = to_route - self.radius[page] <= tau[who] + slack
                 who, to_route = who[ok], to_route[ok]
                 if not len(who):
                     continue
-                may = np.abs(to_route[:, None] - self.to_page[None, a:b]) <= tau[who][:, None] + SLACK
+                may = np.abs(to_route[:, None] - self.to_page[None, a:b]) <= tau[who][:, None] + slack
                 some = may.any(0)
                 cost += int(may.sum())
                 at = np.flatnonzero(some) + a
                 if not len(at):
                     continue
                 d = np.sqrt(np.maximum(qq[who][:, None] + self.xx[at][None, :] - 2 * (q[who] @ self.x[at].T), 0))
-                may = may[:, some] & (d <= tau[who][:, None] + SLACK) & (self.ids[at][None, :] != own[who][:, None])
+                may = may[:, some] & (d <= tau[who][:, None] + slack) & (self.ids[at][None, :] != own[who][:, None])
                 new = np.flatnonzero(may.any(1))
                 if not len(new):
                     continue
                 who, d = who[new], np.where(may[new], d[new], np.inf)
-                if len(at) > 2 * k:  # more than k, for ties in the rounded distance
+                at = np.broadcast_to(at, d.shape)
+                if d.shape[1] > 2 * k:  # more than k, for ties in the rounded distance
                     few = np.argpartition(d, 2 * k, 1)[:, : 2 * k]
-                    d, at = np.take_along_axis(d, few, 1), at[few]
+                    d, at = np.take_along_axis(d, few, 1), np.take_along_axis(at, few, 1)
+                r, c = np.nonzero(d < np.inf)
+                d[r, c] = np.sqrt(((q[who[r]] - self.x[at[r, c]]) ** 2).sum(1))  # exact for what may be a neighbour
                 both_d = np.concatenate((best_d[who], d), 1)
-                both_i = np.concatenate((best_i[who], np.where(np.isinf(d), -1, np.broadcast_to(at, d.shape))), 1)
+                both_i = np.concatenate((best_i[who], np.where(np.isinf(d), -1, at)), 1)
                 rank = np.lexsort((np.where(both_i >= 0, self.ids[both_i], np.iinfo(np.int64).max), np.round(both_d, 9)), axis=1)[:, :k]
                 best_d[who], best_i[who] = np.take_along_axis(both_d, rank, 1), np.take_along_axis(both_i, rank, 1)
                 tau[who] = np.minimum(tau[who], best_d[who, k - 1])
@@ -183,9 +187,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             if not len(x):
                 continue
             d = dist(x, shared.value)
-            go = d - reach.value[None, :] <= tau[:, None] + SLACK
+            slack = SLACK * (1 + float(np.sqrt(max((x * x).sum(1).max(), (shared.value * shared.value).sum(1).max()))))
+            go = d - reach.value[None, :] <= tau[:, None] + slack
             # the hyperplane between two routing objects bounds the distance as well
-            go &= (d - d[np.arange(len(x)), g][:, None]) / 2 <= tau[:, None] + SLACK
+            go &= (d - d[np.arange(len(x)), g][:, None]) / 2 <= tau[:, None] + slack
             go[np.arange(len(x)), g] = False
             row, to = np.nonzero(go)
             for i in range(0, len(row), 20_000):
