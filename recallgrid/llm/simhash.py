@@ -1,7 +1,8 @@
 """SimHash near-duplicates: Gray-order hierarchical index over 64-bit fingerprints.
 
 Every text gets two fingerprints: ``fp`` over its distinct words and ``fp2`` over its distinct word pairs. Two texts are
-near duplicates when ``fp`` differs in at most ``radius`` bits and ``fp2`` in at most ``radius2``.
+near duplicates when ``fp`` differs in at most ``radius`` bits and both together in at most ``total``: word pairs tell
+short texts apart that merely use the same common words.
 
 Equal (fp, fp2) are folded first, so that thousands of copies are one entry. Entries are sent to buckets by masked
 patterns of ``fp`` (one table per random mask); in each bucket they are sorted by Gray rank, cut into leaves whose common
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.llm._arrow import Words, fresh, mix64, partitions, row_slices, shared_dir
 
-RADIUS, RADIUS2 = 12, 17
+RADIUS, TOTAL = 12, 23
 LEAF, FAN = 16, 8
 U = np.uint64
 
@@ -116,8 +117,8 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
 
 
-def bucket_pairs(bucket: np.ndarray, fp: np.ndarray, fp2: np.ndarray, radius: int, radius2: int, chunk: int = 1 << 21):
-    """Pairs (i, j) of row numbers, i and j in one bucket and within both radii, by the hierarchical index."""
+def bucket_pairs(bucket: np.ndarray, fp: np.ndarray, fp2: np.ndarray, radius: int, total: int, chunk: int = 1 << 21):
+    """Pairs (i, j) of row numbers, i and j in one bucket and within both bounds, by the hierarchical index."""
     order = np.lexsort((gray_rank(fp), bucket))
     b, x, y = bucket[order], fp[order], fp2[order]
     n = len(b)
@@ -156,15 +157,16 @@ def bucket_pairs(bucket: np.ndarray, fp: np.ndarray, fp2: np.ndarray, radius: in
         q, lf, acc = q[ok], lf[ok], acc[ok]
         o, row = _spread(np.maximum(leaf[lf], q + 1), leaf_end[lf])
         q, acc, lf = q[o], acc[o], lf[o]
-        hit = acc + np.bitwise_count((x[q] ^ x[row]) & ~leaf_mask[lf]) <= radius
-        hit[hit] = np.bitwise_count(y[q[hit]] ^ y[row[hit]]) <= radius2
+        acc = acc + np.bitwise_count((x[q] ^ x[row]) & ~leaf_mask[lf])
+        hit = acc <= radius
+        hit[hit] = acc[hit] + np.bitwise_count(y[q[hit]] ^ y[row[hit]]) <= total
         found_i.append(order[q[hit]])
         found_j.append(order[row[hit]])
     return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def near_pairs(entries: DataFrame, count: int, radius: int = RADIUS, radius2: int = RADIUS2, recall: float = 0.9) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ``entries`` (rep, fp, fp2) within both radii."""
+def near_pairs(entries: DataFrame, count: int, radius: int = RADIUS, total: int = TOTAL, recall: float = 0.9) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ``entries`` (rep, fp, fp2) within both bounds."""
     bits, tables = table_plan(count, recall=recall)
     ms = masks(bits, tables)
     parts = partitions(entries.sparkSession)
@@ -184,7 +186,7 @@ def near_pairs(entries: DataFrame, count: int, radius: int = RADIUS, radius2: in
             return
         t = pa.Table.from_batches(got)
         key, rep, fp, fp2 = (t.column(k).to_numpy() for k in ("key", "rep", "fp", "fp2"))
-        i, j = bucket_pairs(key, fp.view(U), fp2.view(U), radius, radius2)
+        i, j = bucket_pairs(key, fp.view(U), fp2.view(U), radius, total)
         if len(i):
             pair = np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
@@ -213,7 +215,7 @@ def components(pairs: DataFrame) -> DataFrame:
         last = state
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, radius2: int = RADIUS2, recall: float = 0.9) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, total: int = TOTAL, recall: float = 0.9) -> DataFrame:
     """(doc_id, group_id, is_kept) for every distinct doc_id that is not null.
 
     group_id is the least doc_id of the group and its row is the kept one. A text that is null, empty or without letters
@@ -223,7 +225,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shared_dir(spark)
     fps = fingerprints(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("fp", "fp2")).alias("s")).select("doc_id", "s.fp", "s.fp2").checkpoint()
     entries = fps.where("fp is not null").groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep")).checkpoint()
-    pairs = near_pairs(entries, entries.count(), radius, radius2, recall)
+    pairs = near_pairs(entries, entries.count(), radius, total, recall)
     roots = components(pairs)
     rep = entries.join(roots, entries["rep"] == roots["node"], "left").select("fp", "fp2", F.coalesce("root", "rep").alias("root"))
     out = fps.join(rep, ["fp", "fp2"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))

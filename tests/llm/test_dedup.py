@@ -112,7 +112,8 @@ def test_words_of_a_slice():
 
 
 def brute_pairs(fp, fp2):
-    d = (np.bitwise_count(fp[:, None] ^ fp[None]) <= H.RADIUS) & (np.bitwise_count(fp2[:, None] ^ fp2[None]) <= H.RADIUS2)
+    a, b = (np.bitwise_count(x[:, None] ^ x[None]).astype(int) for x in (fp, fp2))
+    d = (a <= H.RADIUS) & (a + b <= H.TOTAL)
     return {(int(a), int(b)) for a, b in zip(*np.nonzero(d)) if a < b}
 
 
@@ -131,7 +132,7 @@ def near_fingerprints(n=3000):
 
 def test_index_finds_every_pair_of_a_bucket():
     fp, fp2 = near_fingerprints()
-    i, j = H.bucket_pairs(np.zeros(len(fp), np.uint64), fp, fp2, H.RADIUS, H.RADIUS2)
+    i, j = H.bucket_pairs(np.zeros(len(fp), np.uint64), fp, fp2, H.RADIUS, H.TOTAL)
     got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
     assert got == brute_pairs(fp, fp2) and len(i) == len(got)
 
