@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallgrid.llm._arrow import fresh
+from recallgrid.llm._arrow import shared_dir
 
 CAPACITY = 2048
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
@@ -205,11 +205,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     per = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), token_count(F.col(text_col).cast("string")).alias("tokens")).where("tokens > 0")
+    shared_dir(spark)
+    per = per.withColumn("copy_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("tokens")) - 1).checkpoint()  # the texts are read once
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
     last = F.ceil(F.col("tokens") / capacity).cast("bigint")
     pieces = (
-        per.withColumn("copy_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("tokens")) - 1)
-        .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last - 1)).alias("piece_no"))
+        per.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last - 1)).alias("piece_no"))
         .select("doc_id", "copy_no", "piece_no", F.least(F.lit(capacity), F.col("tokens") - F.col("piece_no") * capacity).cast("int").alias("piece_tokens"), shard.alias("shard"))
     )
     got = pieces.groupBy("piece_tokens", "shard").count().collect()  # capacity x shards rows at most
