@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallgrid.llm._arrow import fresh
+from recallgrid.llm._arrow import fresh, shared_dir
 from recallgrid.llm.packing import token_count
 
 BLOCK_TOKENS = 1 << 20
@@ -89,15 +89,17 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     src, tok, blk, hsh, cut, cut_id = fresh([*docs.columns, *names], "mix_source", "mix_tokens", "mix_block", "mix_hash", "mix_cut", "mix_cut_id")
     epoch, rank, shuffle = names
     spark = docs.sparkSession
-    base = docs.withColumn(src, F.coalesce(F.col(source_col).cast("string"), F.lit(""))).withColumn(tok, token_count(F.col(text_col).cast("string")))
-    sums = {r[0]: int(r[1]) for r in base.groupBy(src).agg(F.sum(tok)).collect()}  # a row per source
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    hashed = key("doc", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    shared_dir(spark)
+    light = docs.select(source.alias(src), F.col(id_col).alias("mix_id"), hashed.alias(hsh), token_count(F.col(text_col).cast("string")).alias(tok)).checkpoint()  # tokens are counted once
+    sums = {r[0]: int(r[1]) for r in light.groupBy(src).agg(F.sum(tok)).collect()}  # a row per source
     mix = plan_mix(sums, **how)
     rows = [(s, max(1, -(-t // block_tokens)), t, mix.budgets.get(s, 0)) for s, t in sums.items()]
-    per_source = spark.createDataFrame(rows, f"{src} string, n_blocks bigint, source_tokens bigint, budget bigint")
-    with_n = base.join(per_source.select(src, "n_blocks") if "n_blocks" not in docs.columns else per_source.select(src, F.col("n_blocks").alias("n_blocks_")), src)
-    nb = "n_blocks" if "n_blocks" not in docs.columns else "n_blocks_"
-    hashed = with_n.withColumn(hsh, key("doc", F.coalesce(F.col(id_col).cast("string"), F.lit("")))).withColumn(blk, F.col(hsh) % F.col(nb)).drop(nb)
-    blocks = hashed.groupBy(src, blk).agg(F.sum(tok).alias("block_sum")).join(per_source, src)
+    (nb,) = fresh(docs.columns, "mix_blocks")
+    per_source = spark.createDataFrame(rows, f"{src} string, {nb} bigint, source_tokens bigint, budget bigint")
+    light = light.join(per_source.select(src, nb), src).withColumn(blk, F.col(hsh) % F.col(nb))
+    blocks = light.groupBy(src, blk).agg(F.sum(tok).alias("block_sum")).join(per_source, src)
     epochs = F.greatest(F.lit(1), F.ceil(F.col("budget") / F.greatest("source_tokens", F.lit(1)))).cast("int")
     order = Window.partitionBy(src, epoch).orderBy(key("block", F.col(src), F.col(epoch), F.col(blk)), blk)
     schedule = (
@@ -109,17 +111,17 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         .select(src, blk, epoch, rank, "room", (F.col("room") < F.col("block_sum")).alias("partial"))
     )
     part = schedule.where("partial").select(src, blk, epoch, "room")  # one block per source at most
-    running = F.sum(tok).over(Window.partitionBy(src, blk, epoch).orderBy(hsh, id_col).rangeBetween(Window.unboundedPreceding, 0))
+    running = F.sum(tok).over(Window.partitionBy(src, blk, epoch).orderBy(hsh, F.col("mix_id").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0))
     last = (
-        hashed.select(src, blk, hsh, F.col(id_col).alias("mix_id"), tok).join(F.broadcast(part) if len(sums) <= 10_000 else part, [src, blk]).withColumn("run", F.sum(tok).over(Window.partitionBy(src, blk, epoch).orderBy(hsh, F.col("mix_id").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0)))
+        light.join(F.broadcast(part) if len(sums) <= 10_000 else part, [src, blk]).withColumn("run", running)
         .where("run <= room").groupBy(src, blk, epoch).agg(F.max(F.struct(hsh, "mix_id")).alias("top")).select(src, blk, epoch, F.col(f"top.{hsh}").alias(cut), F.col("top.mix_id").alias(cut_id))
     )
     schedule = schedule.join(last, [src, blk, epoch], "left").select(src, blk, epoch, rank, "partial", cut, cut_id)
-    inside = ~F.col("partial") | (F.col(hsh) < F.col(cut)) | ((F.col(hsh) == F.col(cut)) & F.coalesce(F.col(id_col) <= F.col(cut_id), F.col(id_col).isNull()))
-    clash = [c for c in ("partial",) if c in docs.columns]
-    if clash:
-        schedule, inside = schedule.withColumnRenamed("partial", "partial_"), ~F.col("partial_") | (F.col(hsh) < F.col(cut)) | ((F.col(hsh) == F.col(cut)) & F.coalesce(F.col(id_col) <= F.col(cut_id), F.col(id_col).isNull()))
-    return hashed.join(schedule, [src, blk]).where(inside).withColumn(shuffle, F.col(hsh)).select(*docs.columns, *names)
+    partial, *_ = fresh([*docs.columns, *names], "partial")
+    schedule = schedule.withColumnRenamed("partial", partial)
+    inside = ~F.col(partial) | (F.col(hsh) < F.col(cut)) | ((F.col(hsh) == F.col(cut)) & F.coalesce(F.col(id_col) <= F.col(cut_id), F.col(id_col).isNull()))
+    placed = docs.withColumns({src: source, hsh: hashed}).join(per_source.select(src, nb), src).withColumn(blk, F.col(hsh) % F.col(nb))
+    return placed.join(schedule, [src, blk]).where(inside).withColumn(shuffle, F.col(hsh)).select(*docs.columns, *names)
 
 
 def mix_schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
