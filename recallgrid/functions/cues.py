@@ -88,5 +88,5 @@ def proposed_cues(response: Column) -> Column:
     plain = F.from_json(listed, "array<string>")
     made = F.transform(plain, lambda s: F.when(F.get_json_object(s, "$.key").isNotNull(), F.concat_ws(":", F.get_json_object(s, "$.key"), F.get_json_object(s, "$.value"))).otherwise(s))
     made = F.filter(made, lambda s: s.isNotNull() & (s != ""))
-    quoted = F.regexp_extract_all(response, F.lit(r"""["']([a-z0-9_-]+:[a-z0-9_-]+)["']"""), 1)
+    quoted = F.regexp_extract_all(response, F.lit(r"""["']([-_0-9a-z]+:[-_0-9a-z]+)["']"""), 1)
     return F.when(F.size(made) > 0, made).otherwise(quoted)

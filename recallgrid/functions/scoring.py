@@ -11,9 +11,9 @@ T = Tuning()
 
 
 def idf(total: Column, df: Column, floor: float = T.idf_floor) -> Column:
-    """ln((N - df + 0.5) / (df + 0.5)), the floor at least, also where the logarithm has no value."""
-    ratio = (total - df + 0.5) / (df + 0.5)
-    return F.greatest(F.when(ratio > 0, F.ln(ratio)), F.lit(floor))
+    """Logarithm of the odds that a memory lacks the cue (half a memory added to both sides), the floor at least."""
+    odds = (F.lit(0.5) + total - df) / (F.lit(0.5) + df)
+    return F.greatest(F.when(odds > 0, F.ln(odds)), F.lit(floor))
 
 
 def ratio(pos: Column, size: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-URL = r"https?://(?:www\.)?([a-zA-Z0-9-]+)(?:\.[a-zA-Z]+)+[^\s]*"
-DELIMITERS = r"""[.!?,;:\n\r()\[\]{}<>"'`/\\|=+*&^%$#@~]"""
+URL = r"https?://(?:www[.])?([-0-9A-Za-z]+)(?:[.][A-Za-z]+)+\S*"
+TOKEN = "[a-z][0-9a-z]*"
+DELIMITERS = r"""[\n\r~@#$%&*+=|\\/^`'"<>(){}\[\],.;:?!]"""
 
 STOPWORDS = tuple(
     """a about above across after again against all almost along also although always am among an and another any anybody anyone
@@ -21,12 +22,12 @@ STOPWORDS = tuple(
 )
 
 KEYWORDS = {
-    "rust": "as async await break const crate dyn enum extern fn impl loop match mod move mut pub ref self static struct super trait type union unsafe use",
-    "python": "assert async await class def del elif except finally global import lambda none nonlocal pass raise return try yield true false",
-    "go": "break case chan const default defer fallthrough func goto import interface map package range return select struct switch type var",
-    "javascript": "async await break case catch class const continue debugger default delete enum export extends function implements import instanceof interface new null package private protected public return static super switch throw try typeof var void yield true false",
-    "php": "abstract array callable case catch class clone const declare default die echo empty endif eval exit extends final fn foreach function global implements include interface isset list namespace print private protected public require return static switch throw trait try unset use var xor yield",
-    "java": "abstract assert boolean break byte case catch char class const default double enum extends final finally float implements import instanceof int interface long native new null package private protected public return short static super switch synchronized throw throws transient try void volatile true false",
+    "rust": "fn as pub mod use ref dyn mut type move self impl enum loop async crate match break union super trait await const static unsafe extern struct",
+    "python": "def del try none true elif pass async yield raise false class await lambda global return except assert import finally nonlocal",
+    "go": "map var func type case chan goto range break defer const switch return select struct import package default interface fallthrough",
+    "javascript": "var new try void case true null enum async yield false catch break super class await const throw public static delete typeof switch return import export package private extends default continue function debugger protected interface instanceof implements",
+    "php": "fn die use var xor try case eval echo exit list yield clone endif catch final class unset isset trait print const throw array empty public static switch global return include declare require private foreach extends default callable function abstract protected interface namespace implements",
+    "java": "int new try void case byte true long null enum char false catch break final super class float short const throw public static double native switch return throws assert import package private boolean extends default finally volatile abstract protected interface transient instanceof implements synchronized",
 }
 ALIASES = {"lang:rs": "rust", "rs": "rust", "py": "python", "ts": "javascript", "typescript": "javascript", "js": "javascript", "golang": "go"}
 EXCEPTIONS = {"adding": "add", "added": "add", "children": "child", "men": "man", "women": "woman", "went": "go", "ran": "run", "running": "run", "better": "good", "data": "data", "news": "news", "series": "series", "species": "species", "indices": "index", "matrices": "matrix", "queries": "query", "telling": "tell", "calling": "call", "called": "call"}
@@ -96,7 +97,7 @@ def phrases(text: Column, lang: str = "default", limit: int = 15) -> Column:
 
 def tokens(text: Column, lang: str = "default") -> Column:
     """Content tokens of a text as lemmas, in order, distinct."""
-    found = F.array_distinct(F.regexp_extract_all(normalize_text(sanitize_text(text)), F.lit("[a-z][a-z0-9]*"), 0))
+    found = F.array_distinct(F.regexp_extract_all(normalize_text(sanitize_text(text)), F.lit(TOKEN), 0))
     kept = F.filter(found, lambda t: ~t.isin(*stop_list(lang)) & (F.length(t) > 1) & ~hash_like(t))
     return F.array_distinct(F.transform(kept, lambda t: lemma(t)))
 
@@ -131,7 +132,7 @@ def sql_lemma(w: str, exceptions: dict[str, str] = EXCEPTIONS) -> str:
 
 
 def sql_tokens(x: str, lang: str = "default") -> str:
-    found = f"regexp_extract_all({sql_normalize(sql_sanitize(x))}, '[a-z][a-z0-9]*')"
+    found = f"regexp_extract_all({sql_normalize(sql_sanitize(x))}, '{TOKEN}')"
     keep = f"t NOT IN ({_sql_list(stop_list(lang))}) AND length(t) > 1 AND NOT (length(t) > 6 AND regexp_matches(t, '[0-9]') AND regexp_matches(t, '[a-z]'))"
     return f"list_transform(list_filter({found}, lambda t: {keep}), lambda t: {sql_lemma('t')})"
 

@@ -20,7 +20,7 @@ def cue_frequency(spark, sf):
     return I.frequency(I.postings(mem_orders(spark, sf))).select("cue", "df")
 
 
-@query(_OX + ", n AS (SELECT count(*) AS total FROM mem), d AS (SELECT cue, count(*) AS df FROM p GROUP BY 1) SELECT cue, round(greatest(CASE WHEN total - df + 0.5 > 0 THEN ln((total - df + 0.5) / (df + 0.5)) ELSE 0.1 END, 0.1), 6) AS idf FROM d, n")
+@query(_OX + ", n AS (SELECT count(*) AS total FROM mem), d AS (SELECT cue, count(*) AS df FROM p GROUP BY 1) SELECT cue, round(greatest(CASE WHEN total + 0.5 > df THEN ln((0.5 + total - df) / (0.5 + df)) ELSE 0.1 END, 0.1), 6) AS idf FROM d, n")
 def idf_weights(spark, sf):
     m = mem_orders(spark, sf)
     n = m.agg(F.count("*").alias("total"))

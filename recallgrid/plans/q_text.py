@@ -28,23 +28,23 @@ def tokenize(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]', ' ', 'g')), '[a-z][a-z0-9]*'))) AS w FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]', ' ', 'g')), '[a-z][0-9a-z]*'))) AS w FROM documents)
 SELECT doc_id, w AS token FROM t WHERE length(w) > 6 AND regexp_matches(w, '[0-9]') AND regexp_matches(w, '[a-z]')""")
 def hash_like_filter(spark, sf):
-    w = F.explode(F.array_distinct(F.regexp_extract_all(T.normalize_text(F.col("text")), F.lit("[a-z][a-z0-9]*"), 0))).alias("token")
+    w = F.explode(F.array_distinct(F.regexp_extract_all(T.normalize_text(F.col("text")), F.lit(T.TOKEN), 0))).alias("token")
     return read(spark, sf, "documents").select("doc_id", w).where(T.hash_like(F.col("token")))
 
 
-@query(f"""WITH t AS (SELECT unnest(regexp_extract_all({T.sql_normalize('text')}, '[a-z][a-z0-9]*')) AS w FROM documents)
+@query(f"""WITH t AS (SELECT unnest(regexp_extract_all({T.sql_normalize('text')}, '[a-z][0-9a-z]*')) AS w FROM documents)
 SELECT w AS token, count(*) AS n FROM t WHERE w NOT IN ({T._sql_list(T.stop_list('python'))}) GROUP BY 1""")
 def stopword_filter(spark, sf):
-    w = F.explode(F.regexp_extract_all(T.normalize_text(F.col("text")), F.lit("[a-z][a-z0-9]*"), 0)).alias("token")
+    w = F.explode(F.regexp_extract_all(T.normalize_text(F.col("text")), F.lit(T.TOKEN), 0)).alias("token")
     return read(spark, sf, "documents").select(w).where(~F.col("token").isin(*T.stop_list("lang:py"))).groupBy("token").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all({T.sql_normalize('text')}, '[a-z][a-z0-9]*')) AS w FROM documents) SELECT w AS word, {T.sql_lemma('w')} AS lemma FROM t""")
+@query(f"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all({T.sql_normalize('text')}, '[a-z][0-9a-z]*')) AS w FROM documents) SELECT w AS word, {T.sql_lemma('w')} AS lemma FROM t""")
 def lemmatize(spark, sf):
-    w = read(spark, sf, "documents").select(F.explode(F.regexp_extract_all(T.normalize_text(F.col("text")), F.lit("[a-z][a-z0-9]*"), 0)).alias("word")).distinct()
+    w = read(spark, sf, "documents").select(F.explode(F.regexp_extract_all(T.normalize_text(F.col("text")), F.lit(T.TOKEN), 0)).alias("word")).distinct()
     return w.select("word", T.lemma(F.col("word")).alias("lemma"))
 
 

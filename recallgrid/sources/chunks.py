@@ -122,7 +122,7 @@ def json_entries(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
 def whatsapp_messages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, ord, sender, day, content) of one-line messages."""
-    p = r"^\[(\d{1,2}/\d{1,2}/\d{2,4}),\s+\d{1,2}:\d{2}(?::\d{2})?(?:\s*[AP]M)?\]\s+([^:]+):\s+(.*)$"
+    p = r"^\[((?:\d\d?/){2}\d{2,4}),\s+\d\d?(?::\d\d){1,2}(?:\s*[AP]M)?\]\s+([^:]+):\s+(.*)$"
     line = df.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("ord", "line")).where(F.col("line").rlike(p))
     m = line.select(id_col, "ord", F.lower(F.replace(F.trim(F.regexp_extract("line", p, 2)), F.lit(" "), F.lit("_"))).alias("sender"), F.replace(F.regexp_extract("line", p, 1), F.lit("/"), F.lit("-")).alias("day"), F.trim(F.regexp_extract("line", p, 3)).alias("content"))
     return m.where((F.length("content") >= 3) & ~F.lower("content").contains("omitted"))

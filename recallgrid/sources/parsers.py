@@ -266,7 +266,7 @@ def html_elements(html: str) -> list[Chunk]:
 
 
 _CONTAINERS = [lambda n: n.tag == "article", lambda n: n.tag == "main", lambda n: n.attrs.get("role") == "main", lambda n: {"post-content", "article-content", "entry-content", "content"} & set(n.classes()), lambda n: n.tag == "body"]
-_SKIP_TAGS, _SKIP_CLASSES = {"nav", "header", "footer", "aside", "script", "style", "noscript"}, {"ad", "ads", "sidebar", "menu", "navigation", "advertisement", "comments"}
+_SKIP_TAGS, _SKIP_CLASSES = set("aside footer header nav noscript script style".split()), {"ad", "ads", "sidebar", "menu", "navigation", "advertisement", "comments"}
 
 
 def _scope(root: Node) -> Node:
@@ -347,7 +347,7 @@ def xml_root(text: str) -> list[Chunk]:
 
 # ---- structured ----
 
-_METHODS = ("get", "post", "put", "patch", "delete", "head", "options", "trace")
+_METHODS = frozenset("delete get head options patch post put trace".split())
 
 
 def api_operations(spec: dict) -> list[Chunk]:
@@ -461,9 +461,9 @@ def xlsx(data: bytes, name: str) -> list[Chunk]:
 
 # ---- exports ----
 
-_WHATSAPP = re.compile(r"^\[(\d{1,2}/\d{1,2}/\d{2,4}),\s+\d{1,2}:\d{2}(?::\d{2})?(?:\s*[AP]M)?\]\s+([^:\n]+):\s+(.*(?:\n(?!\[).*)*)", re.M)
-_WATCH = re.compile(r"Watched\s*<a[^>]*>([^<]+)</a>(?:.*?)([A-Z][a-z]{2} \d{1,2}, \d{4})", re.S)
-_SEARCH = re.compile(r"Searched for\s*<a[^>]*>([^<]+)</a>(?:.*?)([A-Z][a-z]{2} \d{1,2}, \d{4})", re.S)
+_WHATSAPP = re.compile(r"^\[((?:\d\d?/){2}\d{2,4}),\s+\d\d?(?::\d\d){1,2}(?:\s*[AP]M)?\]\s+([^:\n]+):\s+(.*(?:\n(?!\[).*)*)", re.M)
+_WATCH = re.compile(r"Watched\s*<a\b[^<>]*>\s*([^<]+)</a>.*?([A-Z][a-z]{2} \d{1,2}, \d{4})", re.S)
+_SEARCH = re.compile(r"Searched for\s*<a\b[^<>]*>\s*([^<]+)</a>.*?([A-Z][a-z]{2} \d{1,2}, \d{4})", re.S)
 
 
 def _day(seconds: float) -> str:

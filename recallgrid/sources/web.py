@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NON_HTML = (".pdf", ".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".zip", ".gz", ".tar", ".mp3", ".mp4", ".avi", ".mov", ".css", ".js", ".json", ".xml", ".ico", ".woff", ".exe", ".dmg")
+NON_HTML = tuple(f".{e}" for e in "avi css dmg exe gif gz ico jpeg jpg js json mov mp3 mp4 pdf png svg tar webp woff xml zip".split())
 
 
 def normalize_url(url: Column) -> Column:
