@@ -24,6 +24,7 @@ from recallgrid.llm._arrow import Words, fresh, mix64, partitions, row_slices, s
 
 RADIUS, TOTAL = 12, 23
 LEAF, FAN = 16, 8
+PART_ROWS = 2_000_000  # of all tables that a task matches, about
 U = np.uint64
 
 
@@ -92,15 +93,20 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 
 
 def masks(bits: int, tables: int) -> np.ndarray:
-    rng = np.random.default_rng(20240)
-    return np.array([np.bitwise_or.reduce(U(1) << rng.choice(64, bits, replace=False).astype(U)) for _ in range(tables)], U)
+    """Masks dealt from shuffled bits: those of one deal are disjoint, so that all bits are asked about equally often."""
+    rng, each, out = np.random.default_rng(20240), 64 // bits, []
+    while len(out) < tables:
+        deal = rng.permutation(64)[: each * bits].reshape(each, bits).astype(U)
+        out += np.bitwise_or.reduce(U(1) << deal, axis=1).tolist()
+    return np.array(out[:tables], U)
 
 
-def table_plan(entries: int, design: int = 10, recall: float = 0.9) -> tuple[int, int]:
+def table_plan(entries: int, design: int = RADIUS, recall: float = 0.9) -> tuple[int, int]:
     """Bits per mask and number of tables for that many entries: buckets of about 64, and ``recall`` at ``design`` bits
-    apart (nearer pairs are found more surely)."""
+    apart (nearer pairs are found more surely). A mask holds distinct bits, so it misses all that differ with the chance
+    C(64 - design, bits) / C(64, bits)."""
     bits = min(32, max(12, math.ceil(math.log2(max(entries, 1) / 64 + 1))))
-    p = (1 - design / 64) ** bits
+    p = math.comb(64 - design, bits) / math.comb(64, bits)
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
@@ -167,9 +173,9 @@ def bucket_pairs(bucket: np.ndarray, fp: np.ndarray, fp2: np.ndarray, radius: in
 
 def near_pairs(entries: DataFrame, count: int, radius: int = RADIUS, total: int = TOTAL, recall: float = 0.9) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ``entries`` (rep, fp, fp2) within both bounds."""
-    bits, tables = table_plan(count, recall=recall)
+    bits, tables = table_plan(count, radius, recall)
     ms = masks(bits, tables)
-    parts = partitions(entries.sparkSession)
+    parts = max(partitions(entries.sparkSession), -(-count * tables // PART_ROWS))
 
     def send(batches):
         for b in batches:

@@ -145,6 +145,24 @@ def test_recall_of_the_tables(spark):
     assert got <= brute_pairs(fp, fp2) and len(got & want) >= 0.9 * len(want)
 
 
+def test_recall_at_every_distance_of_the_radius(spark):
+    fp, fp2 = near_fingerprints()
+    e = spark.createDataFrame([(int(i), int(a), 0) for i, a in enumerate(fp.view(np.int64))], "rep bigint, fp bigint, fp2 bigint")
+    got = {(r.a, r.b) for r in H.near_pairs(e, len(fp)).collect()}
+    apart = collections.defaultdict(list)
+    for p in brute_pairs(fp, fp2):
+        apart[int(np.bitwise_count(fp[p[0]] ^ fp[p[1]]))].append(p in got)
+    assert max(apart) == H.RADIUS and all(np.mean(v) >= 0.85 for v in apart.values()) and np.mean(sum(apart.values(), [])) >= 0.9
+
+
+@pytest.mark.parametrize("entries", [3000, 1_000_000, 5_000_000, 30_000_000])
+def test_recall_of_the_plan_at_any_size(entries):
+    m, r = H.masks(*H.table_plan(entries)), np.random.default_rng(3)
+    for d in (8, 10, 11, 12):
+        x = np.array([np.bitwise_or.reduce(np.uint64(1) << r.choice(64, d, replace=False).astype(np.uint64)) for _ in range(4000)])
+        assert ((x[:, None] & m[None]) == 0).any(1).mean() >= 0.89  # 0.9 but for the draw
+
+
 def test_gray_rank_is_the_inverse_of_the_gray_code():
     x = np.arange(1000, dtype=np.uint64)
     assert H.gray_rank(x ^ (x >> np.uint64(1))).tolist() == x.tolist()
