@@ -1,7 +1,9 @@
 """Secret scans: a character convolutional network in numpy over every candidate string and its surroundings.
 
-Candidates are all runs of 16 or more characters of the key alphabets. The network sees the candidate (its first and
-last 32 characters where it is longer) with 24 characters on either side. It is trained on findings labelled by
+Candidates are all runs of 16 or more characters of the key alphabets. The network sees 64 characters of a candidate with
+24 characters on either side. A longer candidate is looked at several times, and the highest score is its own: its first
+and last 32 characters together, windows of 64 characters, every 32, that cover all of it (but for those without a letter
+or digit), and its own runs of 16 or more letters and digits. The network is trained on findings labelled by
 construction (formats of keys and of things that look like keys) and by rule (a bounded sample of the corpus's own
 candidates), calibrated on held-out findings, and cut at the largest threshold that keeps the wanted recall there.
 """
@@ -22,16 +24,17 @@ from recallgrid.llm._arrow import IS_DIGIT, IS_LOWER, IS_UPPER, bounded_sample,
 
 MIN_RUN, SIDE, HALF = 16, 24, 32
 LENGTH = 2 * SIDE + 2 * HALF
-IN_RUN = IS_DIGIT | IS_LOWER | IS_UPPER | np.isin(np.arange(256), [ord(c) for c in "+/_=-"])
+ALNUM = IS_DIGIT | IS_LOWER | IS_UPPER
+IN_RUN = ALNUM | np.isin(np.arange(256), [ord(c) for c in "+/_=-"])
 SYMBOLS, EMBED, WIDTH, FILTERS, HIDDEN = 98, 8, 5, 24, 16
 SAMPLE_DOCS = 400
 
 
-def candidates(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(raw: np.ndarray, off: np.ndarray, alphabet: np.ndarray = IN_RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text row, begin, end) of the runs, as places in ``raw``."""
     if not len(raw):
         return (np.zeros(0, np.int64),) * 3
-    inside = IN_RUN[raw]
+    inside = alphabet[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[off] = True
     start = np.flatnonzero(inside & (~np.concatenate(([False], inside[:-1])) | edge[:-1]))
@@ -65,6 +68,24 @@ def windows(raw: np.ndarray, off: np.ndarray, row: np.ndarray, start: np.ndarray
     return sym, zone
 
 
+def looks(raw: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(candidate, begin, end) of all that the network is shown: each candidate, and the windows and runs of long ones."""
+    each, size = np.arange(len(start)), end - start
+    if not (size > 2 * HALF).any():
+        return each, start, end
+    more = np.where(size > 2 * HALF, -(-(size - 2 * HALF) // HALF) + 1, 0)
+    who = np.repeat(each, more)
+    step = np.arange(len(who)) - np.repeat(np.cumsum(more) - more, more)
+    at = np.minimum(start[who] + HALF * step, end[who] - 2 * HALF)
+    solid = np.concatenate(([0], np.cumsum(ALNUM[raw])))
+    ok = solid[at + 2 * HALF] > solid[at]
+    who, at = who[ok], at[ok]
+    _, x, y = candidates(raw, off, ALNUM)
+    of = np.searchsorted(start, x, side="right") - 1  # a run of 16 letters and digits is in a candidate
+    ok = size[of] > 2 * HALF
+    return np.concatenate((each, who, of[ok])), np.concatenate((start, at, x[ok])), np.concatenate((end, at + 2 * HALF, y[ok]))
+
+
 @dataclass
 class Network:
     """Embedding, one convolution, a maximum over each of the three zones, one hidden layer; then Platt scaling."""
@@ -238,11 +259,13 @@ def _scan(arr: pa.Array, net: Network):
     for i, j in row_slices(arr):
         raw, off = utf8_parts(arr.slice(i, j - i))
         row, a, b = candidates(raw, off)
-        for k in range(0, len(row), 4096):
-            r, x, y = row[k : k + 4096], a[k : k + 4096], b[k : k + 4096]
-            p = net.score(*windows(raw, off, r, x, y))
-            hit = p >= net.threshold
-            yield r[hit] + i, x[hit] - off[r[hit]], (y - x)[hit], p[hit]
+        who, x, y = looks(raw, off, a, b)
+        p = np.zeros(len(row))
+        for k in range(0, len(who), 4096):
+            w = who[k : k + 4096]
+            np.maximum.at(p, w, net.score(*windows(raw, off, row[w], x[k : k + 4096], y[k : k + 4096])))
+        hit = p >= net.threshold
+        yield row[hit] + i, a[hit] - off[row[hit]], (b - a)[hit], p[hit]
 
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, recall: float = 0.995) -> DataFrame:

@@ -149,6 +149,20 @@ def test_findings_and_redaction(spark):
     assert C.redact(d.where("false"), size_col=None).count() == 0 and C.findings(d.where("false")).count() == 0
 
 
+def test_a_key_in_the_middle_of_a_long_run(spark):
+    rng = random.Random(5)
+    long = lambda n: "/".join(rng.choice(["river", "stone", "light", "walks", "quiet", "hills"]) for _ in range(n))[: 6 * n - n]
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    items = []
+    for i in range(30):
+        items += [(i, f"{prose(rng, 8)} {long(15 + i)}/api_key={key()}/{long(15 + i % 7)} {prose(rng, 8)}"), (100 + i, f"{prose(rng, 8)} {long(45)} {'=-'[i % 2] * (70 + 9 * i)} {prose(rng, 8)}")]
+    d = table(spark, items)
+    hits = {(r.doc_id, r.byte_length > 64) for r in C.findings(d).collect()}
+    assert sum((i, True) in hits for i in range(30)) >= 28 and sum((100 + i, True) in hits for i in range(30)) <= 1
+    out = {r.doc_id: r.text for r in C.redact(d, size_col=None).collect()}
+    assert sum("api_key" not in out[i] for i in range(30)) >= 28
+
+
 # ---- toxicity ----
 
 
