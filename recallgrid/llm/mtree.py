@@ -107,8 +107,9 @@ class MTree:
                     continue
                 who, d = who[new], np.where(may[new], d[new], np.inf)
                 at = np.broadcast_to(at, d.shape)
-                if d.shape[1] > 2 * k:  # more than k, for ties in the rounded distance
-                    few = np.argpartition(d, 2 * k, 1)[:, : 2 * k]
+                if d.shape[1] > k:  # all that may tie with the k-th stay, however many
+                    d[d > np.partition(d, k - 1, 1)[:, k - 1 : k] + slack] = np.inf
+                    few = np.argsort(d, 1)[:, : max(k, int((d < np.inf).sum(1).max()))]
                     d, at = np.take_along_axis(d, few, 1), np.take_along_axis(at, few, 1)
                 r, c = np.nonzero(d < np.inf)
                 d[r, c] = np.sqrt(((q[who[r]] - self.x[at[r, c]]) ** 2).sum(1))  # exact for what may be a neighbour

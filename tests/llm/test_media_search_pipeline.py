@@ -85,6 +85,18 @@ def test_tree_bounds_and_pruning():
     assert np.allclose(np.sort(full, 1)[:, :5], d, atol=1e-9) and cost < 0.2 * 200 * 3000
 
 
+def test_many_ties_in_a_page():
+    r = np.random.default_rng(7)
+    for near in (0, 3, 8):
+        x = np.concatenate((np.full((50, 3), 2.0), r.normal(size=(near, 3)) * 0.1, np.zeros((1, 3))))
+        ids = r.permutation(len(x)) + 100
+        t = M.MTree(ids, x)
+        assert len(t.radius) == 1
+        d, at, _ = t.search(x, ids, 10, np.full(len(x), np.inf))
+        got = {(int(ids[i]), c + 1, int(t.ids[at[i, c]]), round(float(d[i, c]), 6)) for i in range(len(x)) for c in range(10)}
+        assert got == nearest_by_hand(ids.tolist(), x, 10)
+
+
 def test_nearest_with_odd_rows(spark):
     r = np.random.default_rng(6)
     x = np.round(r.normal(size=(90, 4)), 1)
