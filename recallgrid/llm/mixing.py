@@ -79,15 +79,18 @@ def plan_mix(tokens: dict[str, int], target_entropy: float | None = None, max_re
     return Mix(alpha, tokens, w, {s: round(total * w[s]) for s in tokens})
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = BLOCK_TOKENS, names: tuple[str, ...] = ("epoch", "block_rank", "shuffle_key"), **how) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = BLOCK_TOKENS, **how) -> DataFrame:
     """``docs``, each row as often as the mix has it, with epoch (from 0), block_rank (place of its block in that epoch of its source)
     and shuffle_key (order within the block).
 
-    A null source counts as the empty one. Rows that tie in (shuffle_key, doc_id) are in or out together. A source
-    without a token is taken once. The last, partial block never exceeds the budget.
+    An input column of one of these three names stays what it is, and the new one gets a name with '_' behind it. A null
+    source counts as the empty one. Null and empty texts have no token; they go with the block that their id falls in, at
+    no cost. Rows that repeat a doc_id tie in (shuffle_key, doc_id), as all rows without one do, and are in or out
+    together. A source without a token is taken once. The last, partial block never exceeds the budget; a text longer than
+    a block is a block that is longer. An empty table gives no row.
     """
-    src, tok, blk, hsh, cut, cut_id = fresh([*docs.columns, *names], "mix_source", "mix_tokens", "mix_block", "mix_hash", "mix_cut", "mix_cut_id")
-    epoch, rank, shuffle = names
+    epoch, rank, shuffle = names = fresh(docs.columns, "epoch", "block_rank", "shuffle_key")
+    src, tok, blk, hsh, cut, cut_id, nb, partial = fresh([*docs.columns, *names], "mix_source", "mix_tokens", "mix_block", "mix_hash", "mix_cut", "mix_cut_id", "mix_blocks", "mix_partial")
     spark = docs.sparkSession
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     hashed = key("doc", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
@@ -96,7 +99,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     sums = {r[0]: int(r[1]) for r in light.groupBy(src).agg(F.sum(tok)).collect()}  # a row per source
     mix = plan_mix(sums, **how)
     rows = [(s, max(1, -(-t // block_tokens)), t, mix.budgets.get(s, 0)) for s, t in sums.items()]
-    (nb,) = fresh(docs.columns, "mix_blocks")
     per_source = spark.createDataFrame(rows, f"{src} string, {nb} bigint, source_tokens bigint, budget bigint")
     light = light.join(per_source.select(src, nb), src).withColumn(blk, F.col(hsh) % F.col(nb))
     blocks = light.groupBy(src, blk).agg(F.sum(tok).alias("block_sum")).join(per_source, src)
@@ -108,24 +110,24 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         .withColumn("before", F.sum("block_sum").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_sum"))
         .withColumn("room", F.col("budget") - F.col(epoch) * F.col("source_tokens") - F.col("before"))
         .where("room > 0 or source_tokens = 0")
-        .select(src, blk, epoch, rank, "room", (F.col("room") < F.col("block_sum")).alias("partial"))
+        .select(src, blk, epoch, rank, "room", (F.col("room") < F.col("block_sum")).alias(partial))
     )
-    part = schedule.where("partial").select(src, blk, epoch, "room")  # one block per source at most
+    part = schedule.where(F.col(partial)).select(src, blk, epoch, "room")  # one block per source at most
     running = F.sum(tok).over(Window.partitionBy(src, blk, epoch).orderBy(hsh, F.col("mix_id").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0))
+    ties = light.join(F.broadcast(part) if len(sums) <= 10_000 else part, [src, blk]).groupBy(src, blk, epoch, "room", hsh, "mix_id").agg(F.sum(tok).alias(tok))  # rows that tie are one before the window
     last = (
-        light.join(F.broadcast(part) if len(sums) <= 10_000 else part, [src, blk]).withColumn("run", running)
+        ties.withColumn("run", running)
         .where("run <= room").groupBy(src, blk, epoch).agg(F.max(F.struct(hsh, "mix_id")).alias("top")).select(src, blk, epoch, F.col(f"top.{hsh}").alias(cut), F.col("top.mix_id").alias(cut_id))
     )
-    schedule = schedule.join(last, [src, blk, epoch], "left").select(src, blk, epoch, rank, "partial", cut, cut_id)
-    partial, *_ = fresh([*docs.columns, *names], "partial")
-    schedule = schedule.withColumnRenamed("partial", partial)
+    schedule = schedule.join(last, [src, blk, epoch], "left").select(src, blk, epoch, rank, partial, cut, cut_id)
     inside = ~F.col(partial) | (F.col(hsh) < F.col(cut)) | ((F.col(hsh) == F.col(cut)) & F.coalesce(F.col(id_col) <= F.col(cut_id), F.col(id_col).isNull()))
     placed = docs.withColumns({src: source, hsh: hashed}).join(per_source.select(src, nb), src).withColumn(blk, F.col(hsh) % F.col(nb))
     return placed.join(schedule, [src, blk]).where(inside).withColumn(shuffle, F.col(hsh)).select(*docs.columns, *names)
 
 
 def mix_schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """(doc_id, source, epoch, block_rank, shuffle_key) of every row that the mix takes, once per epoch."""
+    """(doc_id, source, epoch, block_rank, shuffle_key) of every row that the mix takes, once per epoch; nulls, ties and
+    empty tables as in ``mixed``, and no other column is read."""
     three = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     return mixed(three, **how).select("doc_id", "source", "epoch", "block_rank", "shuffle_key")
 

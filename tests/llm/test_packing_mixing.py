@@ -8,12 +8,12 @@ from recallgrid.llm import mixing as M
 from recallgrid.llm import packing as P
 from tests.oracle import rows
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, tokens int, partial string, epoch2 int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, tokens int, partial string, epoch int, block_rank string, shuffle_key double, mix_source string"
 
 
 def docs(spark, items):
     """items: (doc_id, text, source); extra columns have names that the operators use inside."""
-    return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), 7, "x", 1) for i, t, s in items], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), 7, "x", 1, "r", 0.5, "m") for i, t, s in items], SCHEMA)
 
 
 def best_bins(items, c):
@@ -52,6 +52,12 @@ def test_best_fit_is_item_by_item_best_fit_decreasing():
         assert sorted(sum(k) for n, content in kinds for k in itertools.repeat([s * q for s, q in content], n)) == sorted(map(sum, bins))
 
 
+def test_the_schedule_of_a_table_with_its_own_column_names(spark):
+    d = docs(spark, [(i, "w " * (i % 5 + 1), f"s{i % 3}") for i in range(40)])
+    got = M.mix_schedule(d)
+    assert got.columns == ["doc_id", "source", "epoch", "block_rank", "shuffle_key"] and got.count() >= 40
+
+
 def test_every_token_has_one_place(spark):
     items = [(i, "w " * (i * 7 % 23 + 1), "s") for i in range(120)] + [(None, "a b", "s"), (200, None, "s"), (201, "", "s"), (202, "x " * 2000, "s"), (5, "again and again", "s"), (5, "again and again", "s")]
     got = P.pack(docs(spark, items), capacity=16).collect()
@@ -118,9 +124,10 @@ def test_mix_against_a_plain_loop(spark):
     items = [(i, "w " * (i % 5 + 1), f"s{min(i % 9, 3)}") for i in range(90)] + [(7, "w w", None), (None, "w", "s1"), (300, None, "s2"), (301, "", "only-empty"), (9, "w", "s0"), (9, "w", "s0")]
     d = docs(spark, items)
     got = M.mixed(d, block_tokens=20, max_repeat=2.5)
-    assert got.columns == [*d.columns, "epoch", "block_rank", "shuffle_key"]
+    assert got.columns == [*d.columns, "epoch_", "block_rank_", "shuffle_key_"] and {(r.epoch, r.block_rank, r.shuffle_key, r.mix_source) for r in got.collect()} == {(1, "r", 0.5, "m")}
     k = lambda r: tuple((x is None, x or 0) for x in r)
-    assert sorted([(r.doc_id, r.epoch, r.block_rank, r.shuffle_key) for r in got.collect()], key=k) == sorted(mixed_by_hand(items, 20, 2.5), key=k)
+    assert M.mixed(d.select("doc_id", "text", "source")).columns[3:] == ["epoch", "block_rank", "shuffle_key"]
+    assert sorted([(r.doc_id, r.epoch_, r.block_rank_, r.shuffle_key_) for r in got.collect()], key=k) == sorted(mixed_by_hand(items, 20, 2.5), key=k)
     assert M.mixed(d.where("false")).count() == 0
 
 
