@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.llm._arrow import shared_dir
 
-CAPACITY = 2048
+CAPACITY, SHARD_ROWS = 2048, 100_000
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]"
 
 
@@ -196,53 +196,60 @@ def _runs(plan: Plan) -> dict[int, list[np.ndarray]]:
     return {s: np.array(v, np.int64).T for s, v in out.items()}
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", shards: int = 64) -> DataFrame:
+def _copies(per: DataFrame) -> DataFrame:
+    """``per`` (doc_id, tokens, in checkpointed partitions) with copy_no: rows of one doc_id are numbered partition by
+    partition, each by size, so that a doc_id that many rows repeat is never sorted in one task."""
+    known = per.withColumn("part_no", F.spark_partition_id())
+    many = per.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("many_id"))
+    tied = known.join(many, F.col("doc_id").eqNullSafe(F.col("many_id")), "left_semi")
+    before = tied.groupBy("doc_id", "part_no").count()
+    first = before.select(F.col("doc_id").alias("many_id"), F.col("part_no").alias("many_part"), (F.sum("count").over(Window.partitionBy("doc_id").orderBy("part_no")) - F.col("count")).alias("first"))
+    within = F.row_number().over(Window.partitionBy("doc_id", "part_no").orderBy("tokens")) - 1
+    numbered = tied.withColumn("within", within).join(first, F.col("doc_id").eqNullSafe(F.col("many_id")) & (F.col("part_no") == F.col("many_part"))).select("doc_id", "tokens", (F.col("within") + F.col("first")).cast("int").alias("copy_no"))
+    single = known.join(many, F.col("doc_id").eqNullSafe(F.col("many_id")), "left_anti").select("doc_id", "tokens", F.lit(0).alias("copy_no"))
+    return single.unionByName(numbered)
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(bin_id, bin_offset, doc_id, copy_no, piece_no, piece_tokens): where each piece of each row goes.
 
-    A text of more tokens than ``capacity`` is cut into full pieces and a rest. Rows without a token (null or empty
-    texts) take no room and give no row; a null doc_id is carried as null. Rows that repeat a doc_id are numbered by
-    copy_no in the order of their size. Among pieces of one size the order is that of (hash, doc_id, copy_no, piece_no).
+    A text of more tokens than ``capacity`` is cut into full pieces, each a bin of its own, and a rest. Rows without a
+    token (null or empty texts) take no room and give no row; a null doc_id is carried as null. Rows that repeat a doc_id
+    are numbered by copy_no. Pieces of one size are ranked by a hash of their document in shards of about
+    ``shard_rows`` pieces; a shard's first rank comes from the counts of those before it. An empty table gives no row.
     """
     spark = docs.sparkSession
     per = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), token_count(F.col(text_col).cast("string")).alias("tokens")).where("tokens > 0")
     shared_dir(spark)
-    per = per.withColumn("copy_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("tokens")) - 1).checkpoint()  # the texts are read once
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
+    per = _copies(per.checkpoint()).checkpoint()  # the texts are read once
     last = F.ceil(F.col("tokens") / capacity).cast("bigint")
     pieces = (
         per.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last - 1)).alias("piece_no"))
-        .select("doc_id", "copy_no", "piece_no", F.least(F.lit(capacity), F.col("tokens") - F.col("piece_no") * capacity).cast("int").alias("piece_tokens"), shard.alias("shard"))
+        .select("doc_id", "copy_no", "piece_no", F.least(F.lit(capacity), F.col("tokens") - F.col("piece_no") * capacity).cast("int").alias("piece_tokens"))
     )
-    got = pieces.groupBy("piece_tokens", "shard").count().collect()  # capacity x shards rows at most
-    by: dict[int, dict[int, int]] = {}
-    for s, h, n in got:
-        by.setdefault(s, {})[h] = n
-    plan = make_plan({s: sum(v.values()) for s, v in by.items()}, capacity)
-    base = {}
-    for s, v in by.items():
-        table, total = np.zeros(shards, np.int64), 0
-        for h in range(shards):
-            table[h] = total
-            total += v.get(h, 0)
-        base[s] = table
-    shared = spark.sparkContext.broadcast((_runs(plan), base))  # a few runs per size and capacity x shards numbers
+    counts = {r[0]: r[1] for r in pieces.groupBy("piece_tokens").count().collect()}  # capacity rows at most
+    plan = make_plan(counts, capacity)
+    shared = spark.sparkContext.broadcast(_runs(plan))  # a few runs per size
+    shards = F.create_map(*[F.lit(x) for s, n in sorted(counts.items()) for x in (s, -(-n // shard_rows))]) if counts else F.create_map(F.lit(0), F.lit(1))
+    shard = F.pmod(F.xxhash64("doc_id", "copy_no", "piece_no"), F.element_at(shards, F.col("piece_tokens"))).cast("int")
+    pieces = pieces.withColumn("shard", shard)
+    sizes = pieces.groupBy("piece_tokens", "shard").agg(F.count("*").alias("n"))
+    first = sizes.select(F.col("piece_tokens").alias("s"), F.col("shard").alias("h"), (F.sum("n").over(Window.partitionBy("piece_tokens").orderBy("shard")) - F.col("n")).alias("first"))
+    w = Window.partitionBy("piece_tokens", "shard").orderBy(F.xxhash64("doc_id"), "doc_id", "copy_no", "piece_no")
+    ranked = pieces.withColumn("rn", F.row_number().over(w) - 1).join(first, (F.col("piece_tokens") == F.col("s")) & (F.col("shard") == F.col("h"))).withColumn("rank", F.col("rn") + F.col("first"))
 
     def place(batches):
-        runs, before = shared.value
+        runs = shared.value
         for b in batches:
-            size, h, rn = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("piece_tokens", "shard", "rn"))
+            size, all_ranks = b.column(0).to_numpy(), b.column(1).to_numpy()
             bin_id, at = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
             for s in np.unique(size).tolist():
                 rows = np.flatnonzero(size == s)
-                rank = before[s][h[rows]] + rn[rows] - 1
-                start, first, q, begin = runs[s]
+                rank = all_ranks[rows]
+                start, begin_bin, q, begin = runs[s]
                 i = np.searchsorted(start, rank, side="right") - 1
-                bin_id[rows] = first[i] + (rank - start[i]) // q[i]
+                bin_id[rows] = begin_bin[i] + (rank - start[i]) // q[i]
                 at[rows] = begin[i] + (rank - start[i]) % q[i] * s
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bin_id), pa.array(at)] + [b.column(b.schema.get_field_index(c)) for c in ("doc_id", "copy_no", "piece_no", "piece_tokens")],
-                names=["bin_id", "bin_offset", "doc_id", "copy_no", "piece_no", "piece_tokens"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(bin_id), pa.array(at), *(b.column(k) for k in (2, 3, 4, 0))], names=["bin_id", "bin_offset", "doc_id", "copy_no", "piece_no", "piece_tokens"])
 
-    w = Window.partitionBy("piece_tokens", "shard").orderBy(F.xxhash64("doc_id"), "doc_id", "copy_no", "piece_no")
-    return pieces.withColumn("rn", F.row_number().over(w)).mapInArrow(place, "bin_id bigint, bin_offset bigint, doc_id bigint, copy_no int, piece_no bigint, piece_tokens int")
+    return ranked.select("piece_tokens", "rank", "doc_id", "copy_no", "piece_no").mapInArrow(place, "bin_id bigint, bin_offset bigint, doc_id bigint, copy_no int, piece_no bigint, piece_tokens int")

@@ -60,7 +60,8 @@ def test_the_schedule_of_a_table_with_its_own_column_names(spark):
 
 def test_every_token_has_one_place(spark):
     items = [(i, "w " * (i * 7 % 23 + 1), "s") for i in range(120)] + [(None, "a b", "s"), (200, None, "s"), (201, "", "s"), (202, "x " * 2000, "s"), (5, "again and again", "s"), (5, "again and again", "s")]
-    got = P.pack(docs(spark, items), capacity=16).collect()
+    items += [(None, "a b c", "s")] * 4 + [(300, "w " * 64, "s")]
+    got = P.pack(docs(spark, items).repartition(3), capacity=16, shard_rows=7).collect()
     want = sum(len(t.split()) for _, t, _ in items if t)
     assert sum(r.piece_tokens for r in got) == want and not {r.doc_id for r in got} & {200, 201}
     by = {}
@@ -70,7 +71,8 @@ def test_every_token_has_one_place(spark):
         spans.sort()
         assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[-1][1] <= 16
     assert sorted(by) == list(range(len(by)))
-    assert len({(r.doc_id, r.copy_no) for r in got if r.doc_id == 5}) == 3
+    assert len({(r.doc_id, r.copy_no) for r in got if r.doc_id == 5}) == 3 and {r.copy_no for r in got if r.doc_id is None} == set(range(5))
+    assert len({(r.doc_id, r.copy_no, r.piece_no) for r in got}) == len(got) and len({r.bin_id for r in got if r.piece_tokens == 16}) == sum(r.piece_tokens == 16 for r in got)
     assert P.pack(docs(spark, [(1, "x", "s")]).where("false")).count() == 0
 
 
