@@ -76,13 +76,38 @@ def nearest_by_hand(ids, x, k):
 def test_tree_bounds_and_pruning():
     r = np.random.default_rng(5)
     x = r.normal(size=(3000, 3)) + 12 * r.integers(0, 5, (3000, 1))
-    t = M.MTree(np.arange(3000), x)
-    for a, b, c, rad in zip(t.page[:-1], t.page[1:], t.route, t.radius):
-        assert b - a <= M.PAGE and np.allclose(np.sqrt(((t.x[a:b] - t.x[c]) ** 2).sum(1)), t.to_page[a:b], atol=1e-5) and t.to_page[a:b].max() == rad
+    t = M.MTree(np.arange(3000), x, page=32, fan=4)
+
+    def below(i):
+        return np.arange(t.first[i], t.end[i]) if i < t.pages else np.concatenate([below(c) for c in range(t.first[i], t.end[i])])
+
+    assert len(t.radius) > t.pages + 20 and sorted(np.concatenate([below(i) for i in t.roots])) == list(range(3000))
+    for i in range(len(t.radius)):
+        d = np.sqrt(((t.x[below(i)] - t.x[t.route[i]]) ** 2).sum(1))
+        assert d.max() == pytest.approx(t.radius[i])
+        if i < t.pages:
+            assert len(d) <= 32 and np.allclose(d, t.to_page[below(i)])
+        else:
+            c = np.arange(t.first[i], t.end[i])
+            assert np.allclose(np.sqrt(((t.x[t.route[c]] - t.x[t.route[i]]) ** 2).sum(1)), t.to_parent[c])
     d, at, cost = t.search(x[:200], np.arange(200), 5, np.full(200, np.inf))
     full = np.sqrt(((x[:200, None] - x[None]) ** 2).sum(-1))
     full[np.arange(200), np.arange(200)] = np.inf
-    assert np.allclose(np.sort(full, 1)[:, :5], d, atol=1e-9) and cost < 0.2 * 200 * 3000
+    assert np.allclose(np.sort(full, 1)[:, :5], d, atol=1e-9) and cost < 0.1 * 200 * 3000
+
+
+@pytest.mark.parametrize("page", [4, 16, 256])
+def test_random_ties_against_brute_force(page):
+    r = np.random.default_rng(11)
+    for _ in range(100):
+        n = int(r.integers(1, 300))
+        x, ids = r.integers(0, 2, (n, 4)).astype(float), r.permutation(n) + 5
+        who = r.integers(0, n, 15)
+        t = M.MTree(ids, x, page=page, fan=3)
+        d, at, _ = t.search(x[who], ids[who], 10, np.full(15, np.inf))
+        for w, dd, aa in zip(who, d, at):
+            want = sorted((round(float(np.linalg.norm(x[w] - x[j])), 9), int(ids[j])) for j in range(n) if j != w)[:10]
+            assert [(round(float(v), 9), int(t.ids[a])) for v, a in zip(dd, aa) if a >= 0] == want
 
 
 def test_many_ties_in_a_page():
@@ -104,10 +129,20 @@ def test_nearest_with_odd_rows(spark):
     data = [(i, v.tolist(), "a", 1.0) for i, v in enumerate(x)]
     odd = [(200, None, "a", 1.0), (201, [], "a", 1.0), (202, [1.0, 2.0], "a", 1.0), (203, [1.0, None, 2.0, 3.0], "a", 1.0), (204, [float("nan")] * 4, "a", 1.0), (None, [1.0] * 4, "a", 1.0), data[5]]
     d = spark.createDataFrame(data + odd, "vec_id bigint, embedding array<double>, g string, tau double")
-    got = {tuple(q) for q in M.nearest(d, k=6, group_rows=20).collect()}
-    assert got == nearest_by_hand(list(range(90)), x, 6)
+    want = nearest_by_hand(list(range(90)), x, 6)
+    assert {tuple(q) for q in M.nearest(d, k=6, every=1, shard_rows=20, block_rows=7).collect()} == want
+    assert {tuple(q) for q in M.nearest(d, k=6, every=5, shard_rows=20, block_rows=7).collect()} == {w for w in want if w[0] % 5 == 0}
     assert M.nearest(d.where("false")).count() == 0
-    assert M.nearest(d.where("vec_id < 3"), k=6).count() == 6
+    assert M.nearest(d.where("vec_id < 3"), k=6, every=1).count() == 6
+    assert M.nearest(d.where("vec_id in (1, 2)")).count() == 0
+
+
+def test_a_vector_that_most_rows_share(spark):
+    r = np.random.default_rng(8)
+    x = np.concatenate((np.full((400, 3), 1.0), r.normal(size=(60, 3))))
+    d = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, s string")
+    got = {tuple(q) for q in M.nearest(d, k=6, every=20, shard_rows=16, block_rows=5).collect()}
+    assert got == {w for w in nearest_by_hand(list(range(460)), np.asarray(x, np.float32).astype(float), 6) if w[0] % 20 == 0}
 
 
 # ---- registered queries and the pipeline ----
