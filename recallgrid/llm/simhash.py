@@ -9,6 +9,9 @@ patterns of ``fp`` (one table per random mask); in each bucket they are sorted b
 masked bits make a node, leaves into upper nodes; a query carries the differences counted so far, and a node whose
 accumulated differences exceed the radius is dropped with all below it. The bits per mask grow with the logarithm of
 the number of entries and the number of tables follows from the wanted recall, so that buckets stay small at any size.
+
+A pair that agrees on several masks counts in the first of them only, so pairs are never gathered to be made distinct:
+a task returns one row per entry that has a link there, with the number of its links and an entry that its links lead to.
 """
 
 from __future__ import annotations
@@ -69,19 +72,20 @@ def fingerprint_block(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, fp2) of every row; fp and fp2 are null where the text is null or has no letter and no digit."""
-    schema = "doc_id bigint, fp bigint, fp2 bigint"
+    """(doc_id, text_hash, fp, fp2) of every row; fp and fp2 are null where the text is null or has no letter and no digit."""
+    schema = "doc_id bigint, text_hash bigint, fp bigint, fp2 bigint"
 
     def run(batches):
         for b in batches:
-            text = b.column(1)
+            text = b.column(2)
             for i, j in row_slices(text):
                 fp, fp2, ok = fingerprint_block(text.slice(i, j - i))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i).cast(pa.int64()), pa.array(fp.view(np.int64), mask=~ok), pa.array(fp2.view(np.int64), mask=~ok)], names=["doc_id", "fp", "fp2"]
+                    [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(fp.view(np.int64), mask=~ok), pa.array(fp2.view(np.int64), mask=~ok)], names=["doc_id", "text_hash", "fp", "fp2"]
                 )
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, schema)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -124,12 +128,12 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bucket_pairs(bucket: np.ndarray, fp: np.ndarray, fp2: np.ndarray, radius: int, total: int, chunk: int = 1 << 21):
-    """Pairs (i, j) of row numbers, i and j in one bucket and within both bounds, by the hierarchical index."""
+    """Blocks of pairs (i, j) of row numbers, i and j in one bucket and within both bounds, by the hierarchical index."""
     order = np.lexsort((gray_rank(fp), bucket))
     b, x, y = bucket[order], fp[order], fp2[order]
     n = len(b)
     if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return
     seg = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
     seg_of = np.repeat(np.arange(len(seg)), np.diff(np.append(seg, n)))
     within = np.arange(n) - seg[seg_of]
@@ -143,7 +147,6 @@ def bucket_pairs(bucket: np.ndarray, fp: np.ndarray, fp2: np.ndarray, radius: in
     seg_up_end = np.searchsorted(up_seg, np.arange(len(seg)), side="right")
     up_of_leaf = np.repeat(np.arange(len(upper)), upper_end - upper)
     up_of_row = np.repeat(up_of_leaf, leaf_end - leaf)
-    found_i, found_j = [], []
     at = 0
     fan = seg_up_end[seg_of] - up_of_row  # a row asks its own node and those after it: every pair once
     cum = np.concatenate(([0], np.cumsum(fan)))
@@ -166,13 +169,28 @@ def bucket_pairs(bucket: np.ndarray, fp: np.ndarray, fp2: np.ndarray, radius: in
         acc = acc + np.bitwise_count((x[q] ^ x[row]) & ~leaf_mask[lf])
         hit = acc <= radius
         hit[hit] = acc[hit] + np.bitwise_count(y[q[hit]] ^ y[row[hit]]) <= total
-        found_i.append(order[q[hit]])
-        found_j.append(order[row[hit]])
-    return np.concatenate(found_i), np.concatenate(found_j)
+        if hit.any():
+            yield order[q[hit]], order[row[hit]]
 
 
-def near_pairs(entries: DataFrame, count: int, radius: int = RADIUS, total: int = TOTAL, recall: float = 0.9) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ``entries`` (rep, fp, fp2) within both bounds."""
+def join_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` (the least member of each one's component) after the pairs (i, j)."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
+def _matched(entries: DataFrame, count: int, radius: int, total: int, recall: float, result, schema: str) -> DataFrame:
+    """``result`` (the entries of a task: their numbers, blocks of pairs of rows) over all tables; a pair comes once."""
     bits, tables = table_plan(count, radius, recall)
     ms = masks(bits, tables)
     parts = max(partitions(entries.sparkSession), -(-count * tables // PART_ROWS))
@@ -184,21 +202,55 @@ def near_pairs(entries: DataFrame, count: int, radius: int = RADIUS, total: int
             for t, m in enumerate(ms):
                 key = mix64((u & m) + U((t * 0x9E3779B97F4A7C15 + 1) & (2**64 - 1)))
                 part = (key >> U(33)) % U(parts)
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(key.view(np.int64)), b.column(0), b.column(1), b.column(2)], names=["part", "key", "rep", "fp", "fp2"])
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(np.full(len(u), t, np.int16)), b.column(0), b.column(1), b.column(2)], names=["part", "key", "t", "rep", "fp", "fp2"])
 
     def match(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         t = pa.Table.from_batches(got)
-        key, rep, fp, fp2 = (t.column(k).to_numpy() for k in ("key", "rep", "fp", "fp2"))
-        i, j = bucket_pairs(key, fp.view(U), fp2.view(U), radius, total)
-        if len(i):
-            pair = np.unique(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+        key, first, rep, fp, fp2 = (t.column(k).to_numpy() for k in ("key", "t", "rep", "fp", "fp2"))
+        fp, fp2 = fp.view(U), fp2.view(U)
+
+        def pairs():
+            for i, j in bucket_pairs(key, fp, fp2, radius, total):
+                x, t = fp[i] ^ fp[j], first[i]
+                new = np.ones(len(i), bool)
+                for s in range(int(t.max())):  # does an earlier mask have the pair?
+                    new &= (x & ms[s] != 0) | (t <= s)
+                if new.any():
+                    yield i[new], j[new]
 
-    sent = entries.select("rep", "fp", "fp2").mapInArrow(send, "part int, key bigint, rep bigint, fp bigint, fp2 bigint")
-    return sent.repartitionById(parts, F.col("part")).mapInArrow(match, "a bigint, b bigint").distinct()
+        yield from result(rep, pairs())
+
+    sent = entries.select("rep", "fp", "fp2").mapInArrow(send, "part int, key bigint, t smallint, rep bigint, fp bigint, fp2 bigint")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(match, schema)
+
+
+def near_pairs(entries: DataFrame, count: int, radius: int = RADIUS, total: int = TOTAL, recall: float = 0.9) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ``entries`` (rep, fp, fp2) within both bounds."""
+
+    def result(rep, pairs):
+        for i, j in pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
+
+    return _matched(entries, count, radius, total, recall, result, "a bigint, b bigint")
+
+
+def near_links(entries: DataFrame, count: int, radius: int = RADIUS, total: int = TOTAL, recall: float = 0.9) -> DataFrame:
+    """(rep, to, links): of each entry, task by task, its number of links there and the least entry that they lead to."""
+
+    def result(rep, pairs):
+        known, of = np.unique(rep, return_inverse=True)
+        label, links = np.arange(len(known)), np.zeros(len(known), np.int64)
+        for i, j in pairs:
+            i, j = of[i], of[j]
+            links += np.bincount(i, minlength=len(known)) + np.bincount(j, minlength=len(known))
+            label = join_labels(label, i, j)
+        some = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(known[some]), pa.array(known[label[some]]), pa.array(links[some])], names=["rep", "to", "links"])
+
+    return _matched(entries, count, radius, total, recall, result, "rep bigint, to bigint, links bigint")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -221,31 +273,58 @@ def components(pairs: DataFrame) -> DataFrame:
         last = state
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, total: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, fp, fp2), written once, and classes of equal fingerprints (fp, fp2, head, links, copies),
+    head being the least (no doc_id, doc_id, fp, fp2) of the class's group."""
+    shared_dir(docs.sparkSession)
+    rows = fingerprints(docs, id_col, text_col).checkpoint()
+    some = rows.where("fp is not null").groupBy("fp", "fp2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"), F.count("*").alias("copies"))
+    entries = some.select(F.monotonically_increasing_id().alias("rep"), "fp", "fp2", "least", "copies").checkpoint()
+    found = near_links(entries, entries.count(), radius, total, recall).checkpoint()
+    roots = components(found.where("rep <> to").select(F.col("to").alias("a"), F.col("rep").alias("b")).distinct())
+    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    named = entries.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left").select("fp", "fp2", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"), F.struct("least.none", "least.doc_id", "fp", "fp2").alias("own"))
+    heads = named.groupBy("root").agg(F.min("own").alias("head"))
+    return rows, named.join(heads, "root").select("fp", "fp2", "head", "links", "copies")
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, total: int = TOTAL, recall: float = 0.9) -> DataFrame:
-    """(doc_id, group_id, is_kept) for every distinct doc_id that is not null.
+    """(doc_id, group_id, is_kept, links, copies): one row for every distinct pair of doc_id and fingerprints.
 
-    group_id is the least doc_id of the group and its row is the kept one. A text that is null, empty or without letters
-    and digits is a group of its own. Rows that repeat a doc_id count once here, with the least fingerprint.
+    ``copies`` counts the rows of equal fingerprints (this one among them), ``links`` the other fingerprints within both
+    bounds. group_id is the least doc_id of the group (null last), and one row of that doc_id is the kept one. A text that
+    is null, empty or without letters and digits is a group of its own, one row for each doc_id. Rows that repeat a doc_id
+    with the same fingerprints are one row here; with others, they are compared as rows of their own. Texts are read
+    whole, whatever their length; an empty table gives no row.
+    """
+    rows, classes = _classes(docs, id_col, text_col, radius, total, recall)
+    head = F.col("head")
+    out = rows.where("fp is not null").groupBy("doc_id", "fp", "fp2").agg(F.lit(1)).join(classes, ["fp", "fp2"])
+    kept = F.col("doc_id").eqNullSafe(head["doc_id"]) & (F.col("fp") == head["fp"]) & (F.col("fp2") == head["fp2"])
+    bare = rows.where("fp is null").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    return out.select("doc_id", head["doc_id"].alias("group_id"), kept.alias("is_kept"), "links", "copies").unionByName(
+        bare.select("doc_id", F.col("doc_id").alias("group_id"), F.lit(True).alias("is_kept"), F.lit(0).cast("bigint").alias("links"), "copies")
+    )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, total: int = TOTAL, recall: float = 0.9) -> DataFrame:
+    """``docs``, all columns, one row of each group: of those with the group's least doc_id (null last) and that class's
+    fingerprints, the one of the least text hash. Texts that are null, empty or without letters and digits all stay, but
+    for rows that repeat both doc_id and text; of these one stays in any case, the least by a hash of all its columns.
+
+    What stays is decided on ids and hashes; the texts are moved once, to meet the decision. An empty table stays empty.
     """
-    spark = docs.sparkSession
-    shared_dir(spark)
-    fps = fingerprints(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("fp", "fp2")).alias("s")).select("doc_id", "s.fp", "s.fp2").checkpoint()
-    entries = fps.where("fp is not null").groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep")).checkpoint()
-    pairs = near_pairs(entries, entries.count(), radius, total, recall)
-    roots = components(pairs)
-    rep = entries.join(roots, entries["rep"] == roots["node"], "left").select("fp", "fp2", F.coalesce("root", "rep").alias("root"))
-    out = fps.join(rep, ["fp", "fp2"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))
-    return out.withColumn("is_kept", F.col("doc_id") == F.col("group_id"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is kept by near_duplicate_groups; of rows that repeat a kept
-    doc_id one stays (the least by text, nulls last), and rows whose doc_id is null all stay."""
-    gone, n = fresh(docs.columns, "gone_id", "row_no")
-    groups = near_duplicate_groups(docs, id_col, text_col, **how).where("not is_kept").select(F.col("doc_id").alias(gone))
-    kept = docs.join(groups, docs[id_col].cast("bigint") == groups[gone], "left_anti")
-    w = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.col(text_col).asc_nulls_last())
-    repeated = docs.groupBy(F.col(id_col).alias(gone)).count().where("count > 1").select(gone)
-    single = kept.join(repeated, kept[id_col] == repeated[gone], "left_anti")
-    many = kept.join(repeated, kept[id_col] == repeated[gone], "left_semi").withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
+    rows, classes = _classes(docs, id_col, text_col, radius, total, recall)
+    per = rows.groupBy("doc_id", "text_hash", "fp", "fp2").agg(F.count("*").alias("times"))
+    heads = classes.select("head").distinct().select(*[F.col(f"head.{c}").alias(f"head_{c}") for c in ("doc_id", "fp", "fp2")])
+    first = per.join(heads, F.col("doc_id").eqNullSafe(F.col("head_doc_id")) & (F.col("fp") == F.col("head_fp")) & (F.col("fp2") == F.col("head_fp2")))
+    first = first.groupBy("doc_id", "fp", "fp2").agg(F.min(F.struct("text_hash", "times")).alias("m")).select("doc_id", "m.text_hash", "m.times")
+    stay = first.unionByName(per.where("fp is null").select("doc_id", "text_hash", "times"))
+    i, h, t, rn, sid, sh = fresh(docs.columns, "row_id", "row_hash", "row_times", "row_no", "stay_id", "stay_hash")
+    stay = stay.select(F.col("doc_id").alias(sid), F.col("text_hash").alias(sh), F.col("times").alias(t)).checkpoint()
+    keyed = docs.withColumns({i: F.col(id_col).cast("bigint"), h: F.xxhash64(F.col(text_col).cast("string"))})
+    on = F.col(i).eqNullSafe(F.col(sid)) & (F.col(h) == F.col(sh))
+    single = keyed.join(stay.where(F.col(t) == 1), on).select(*docs.columns)
+    order = Window.partitionBy(i, h).orderBy(F.xxhash64(*docs.columns))
+    many = keyed.join(stay.where(F.col(t) > 1), on).withColumn(rn, F.row_number().over(order)).where(F.col(rn) == 1).select(*docs.columns)
     return single.unionByName(many)

@@ -117,6 +117,17 @@ def brute_pairs(fp, fp2):
     return {(int(a), int(b)) for a, b in zip(*np.nonzero(d)) if a < b}
 
 
+def components_by_hand(pairs):
+    of = {}
+    for a, b in pairs:
+        x, y = of.setdefault(a, {a}), of.setdefault(b, {b})
+        if x is not y:
+            x |= y
+            for v in y:
+                of[v] = x
+    return {frozenset(v) for v in of.values()}
+
+
 def near_fingerprints(n=3000):
     r = np.random.default_rng(4)
     fp = r.integers(0, 2**64, n, dtype=np.uint64)
@@ -132,23 +143,23 @@ def near_fingerprints(n=3000):
 
 def test_index_finds_every_pair_of_a_bucket():
     fp, fp2 = near_fingerprints()
-    i, j = H.bucket_pairs(np.zeros(len(fp), np.uint64), fp, fp2, H.RADIUS, H.TOTAL)
+    i, j = (np.concatenate(x) for x in zip(*H.bucket_pairs(np.zeros(len(fp), np.uint64), fp, fp2, H.RADIUS, H.TOTAL)))
     got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
     assert got == brute_pairs(fp, fp2) and len(i) == len(got)
 
 
-def test_recall_of_the_tables(spark):
-    fp, fp2 = near_fingerprints()
-    e = spark.createDataFrame([(int(i), int(a), 0) for i, a in enumerate(fp.view(np.int64))], "rep bigint, fp bigint, fp2 bigint")
-    got = {(r.a, r.b) for r in H.near_pairs(e, len(fp)).collect()}
-    want = {p for p in brute_pairs(fp, fp2) if np.bitwise_count(fp[p[0]] ^ fp[p[1]]) <= 10}
-    assert got <= brute_pairs(fp, fp2) and len(got & want) >= 0.9 * len(want)
-
-
 def test_recall_at_every_distance_of_the_radius(spark):
     fp, fp2 = near_fingerprints()
     e = spark.createDataFrame([(int(i), int(a), 0) for i, a in enumerate(fp.view(np.int64))], "rep bigint, fp bigint, fp2 bigint")
-    got = {(r.a, r.b) for r in H.near_pairs(e, len(fp)).collect()}
+    found = [(r.a, r.b) for r in H.near_pairs(e, len(fp)).collect()]
+    got = set(found)
+    assert len(got) == len(found) and got <= brute_pairs(fp, fp2)
+    links = collections.Counter(x for p in got for x in p)
+    sums, union = collections.Counter(), []
+    for r in H.near_links(e, len(fp)).collect():
+        sums[r.rep] += r.links
+        union += [(r.rep, r.to)] if r.rep != r.to else []
+    assert sums == links and components_by_hand(union) == components_by_hand(got)
     apart = collections.defaultdict(list)
     for p in brute_pairs(fp, fp2):
         apart[int(np.bitwise_count(fp[p[0]] ^ fp[p[1]]))].append(p in got)
@@ -177,17 +188,36 @@ def test_components(spark):
 def test_groups_and_dropping(spark):
     r = random.Random(9)
     vocab = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
-    base = [[r.choice(vocab) for _ in range(200)] for _ in range(6)]
-    items = [(i, " ".join(w)) for i, w in enumerate(base)]
+    base = [[r.choice(vocab) for _ in range(200)] for _ in range(8)]
+    items = [(i, " ".join(w)) for i, w in enumerate(base[:6])]
     for i in range(3):
         w = list(base[i])
         w[17] = "changed"
         items += [(50 + i, " ".join(w)), (60 + i, items[i][1])]
-    items += [(70, None), (71, ""), (72, "!!!"), (None, "no id"), (4, items[4][1])]
+    other, none = " ".join(base[6]), " ".join(base[7])
+    items += [(70, None), (71, ""), (72, "!!!"), (None, none), (None, none), (4, items[4][1]), (4, other), (80, other), (None, None), (70, None), (None, items[5][1]), (90, "long " + " ".join(base[6] * 100))]
     d = table(spark, items)
-    g = {r.doc_id: r.group_id for r in H.near_duplicate_groups(d).collect()}
-    assert g == {**{i: i for i in range(6)}, **{50 + i: i for i in range(3)}, **{60 + i: i for i in range(3)}, 70: 70, 71: 71, 72: 72}
+    out = H.near_duplicate_groups(d).collect()
+    g = {(r.doc_id, r.group_id, r.is_kept, r.copies) for r in out}
+    # 4 stands for two groups, each with a row of its own; the rows without an id are grouped too
+    want = {(i, i, True, 2 if i != 3 else 1) for i in range(6)} | {(50 + i, i, False, 1) for i in range(3)} | {(60 + i, i, False, 2) for i in range(3)}
+    want |= {(4, 4, True, 2), (80, 4, False, 2), (70, 70, True, 2), (71, 71, True, 1), (72, 72, True, 1), (None, None, True, 2), (None, None, True, 1), (None, 5, False, 2)}
+    assert g == want | {x for x in g if x[0] == 90} and len(out) == len(g) + 1  # 4 twice
+    assert {r.links for r in out if r.doc_id in (0, 1, 2, 50, 51, 52)} == {1} and {r.links for r in out if r.doc_id in (3, 5, 70)} == {0}
     kept = H.drop_near_duplicates(d)
     assert kept.columns == d.columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [*[(False, i) for i in range(6)], (False, 70), (False, 71), (False, 72), (True, 0)]
-    assert H.drop_near_duplicates(d.where("false")).count() == 0
+    text = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in rows)
+    stay = [*[(False, i, items[i][1]) for i in range(6)], (False, 4, other), (False, 70, ""), (False, 71, ""), (False, 72, "!!!"), (True, 0, none), (True, 0, "")]
+    assert text(r for r in kept.collect() if r.doc_id != 90) == sorted(stay)
+    assert H.drop_near_duplicates(d.where("false")).count() == 0 and H.near_duplicate_groups(d.where("false")).count() == 0
+
+
+def test_a_dense_bucket_of_near_copies(spark):
+    """Thousands of different texts within the radius of each other: rows stay linear, every one gets into the group."""
+    r = np.random.default_rng(2)
+    fp = np.unique(np.array([np.bitwise_or.reduce(np.uint64(1) << r.choice(64, 3, replace=False).astype(np.uint64)) for _ in range(2500)]))
+    e = spark.createDataFrame([(int(i), int(a), 0) for i, a in enumerate(fp.view(np.int64))], "rep bigint, fp bigint, fp2 bigint")
+    found = H.near_links(e, len(fp)).checkpoint()
+    n, most = found.count(), H.table_plan(len(fp))[1] * len(fp)
+    assert n <= most and {x.root for x in H.components(found.where("rep <> to").select("to", "rep").toDF("a", "b").distinct()).collect()} == {0}
+    assert found.agg({"links": "sum"}).first()[0] >= 2 * 0.9 * len(fp) * (len(fp) - 1) / 2
