@@ -9,17 +9,14 @@ URL = r"https?://(?:www[.])?([-0-9A-Za-z]+)(?:[.][A-Za-z]+)+\S*"
 TOKEN = "[a-z][0-9a-z]*"
 DELIMITERS = r"""[\n\r~@#$%&*+=|\\/^`'"<>(){}\[\],.;:?!]"""
 
-STOPWORDS = tuple(
-    """a about above across after again against all almost along also although always am among an and another any anybody anyone
-    anything are around as at away back be became because become been before behind being below between both but by came can cannot com
-    come could did do does doing done down during each either else ever every few for from further get gets give go goes going gone
-    got had has have having he her here hers herself him himself his how however http https i if in instead into io is it its itself
-    just least less let like made make many may me might more most much must my myself neither never no nobody nor not nothing now
-    of off often on once only onto or org other others our ours ourselves out over own per quite rather re same shall she should since so
-    some still such than that the their theirs them themselves then there these they this those through to too toward under until up
-    upon us very via was we were what when where which while who whom whose why will with within without would www yet you
-    your yours yourself yourselves""".split()
-)
+PLAIN_STOPWORDS = """themselves yourselves ourselves yourself because himself herself through between further should before itself myself
+    during having theirs cannot could would while there where these those above being doing which until under other their
+    https yours ought about below once same some here were more have each such with both will them whom from than been then
+    when down into http over your does this hers ours that what most they only very had did and she the are off org him com
+    own who too her for our has was his its but out you few how www why any be he me we if of am an in on do io so to up or
+    as is us at it by my a i""".split()
+CONTRACTIONS = {"n't": "are ca could did does do had has have is must sha should was were wo would", "'s": "he here how it let she that there what when where who why", "'d": "he i she they we you", "'ll": "he i she they we you", "'re": "they we you", "'ve": "i they we you", "'m": "i"}
+STOPWORDS = (*PLAIN_STOPWORDS, *(stem + end for end, stems in CONTRACTIONS.items() for stem in stems.split()))
 
 KEYWORDS = {
     "rust": "fn as pub mod use ref dyn mut type move self impl enum loop async crate match break union super trait await const static unsafe extern struct",
@@ -75,20 +72,29 @@ LEMMA_RULES = [
 
 
 def lemma(word: Column, exceptions: dict[str, str] = EXCEPTIONS) -> Column:
-    """Rule lemmatiser; the dictionary of exceptions can be replaced."""
+    """Rule lemmatiser; the dictionary of exceptions can be replaced. A word meets only the rules of its own ending."""
+
+    def by(ending: str) -> Column:
+        expr = F.when(F.lit(False), word)
+        for pattern, cut, add in LEMMA_RULES:
+            if pattern.endswith(f"{ending}$") or (ending == "s" and pattern.endswith("s)$")):
+                out = F.substring(word, F.lit(1), F.length(word) - cut) if cut else word
+                expr = expr.when(word.rlike(pattern), F.concat(out, F.lit(add)) if add else out)
+        return expr.otherwise(word)
+
     expr = F.when(F.octet_length(word) <= 3, word)
-    for k, v in sorted(exceptions.items()):
-        expr = expr.when(word == k, F.lit(v))
-    for pattern, cut, add in LEMMA_RULES:
-        out = F.substring(word, F.lit(1), F.length(word) - cut) if cut else word
-        expr = expr.when(word.rlike(pattern), F.concat(out, F.lit(add)) if add else out)
+    if exceptions:
+        table = F.create_map(*[F.lit(x) for pair in sorted(exceptions.items()) for x in pair])
+        expr = expr.when(word.isin(*exceptions), F.element_at(table, word))
+    for ending in ("s", "ing", "ed"):
+        expr = expr.when(F.endswith(word, F.lit(ending)), by(ending))
     return expr.otherwise(word)
 
 
 def phrases(text: Column, lang: str = "default", limit: int = 15) -> Column:
     """Runs of two to four content words between delimiters and stop-words, as lemmas joined by '_'."""
-    words = F.split(F.regexp_replace(F.lower(text), DELIMITERS, " | "), r"\s+")
-    clean = F.filter(F.transform(words, lambda w: F.when(w == "|", w).otherwise(F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))), lambda w: w != "")
+    solid = F.regexp_replace(F.regexp_replace(F.lower(text), DELIMITERS, " | "), r"[^\p{L}\p{N}|\s]", "")
+    clean = F.filter(F.split(solid, r"\s+"), lambda w: w != "")
     marked = F.transform(clean, lambda w: F.when((w == "|") | w.isin(*stop_list(lang)) | (F.octet_length(w) <= 1), F.lit("|")).otherwise(lemma(w)))
     runs = F.transform(F.split(F.array_join(marked, " "), r"\|"), lambda r: F.trim(r))
     good = F.filter(runs, lambda r: r.rlike("^[^ ]+( [^ ]+){1,3}$") & (F.octet_length(r) >= 5))
@@ -112,7 +118,7 @@ def cues(text: Column, lang: str = "default") -> Column:
 
 
 def _sql_list(items) -> str:
-    return ", ".join(f"'{x}'" for x in items)
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in items)
 
 
 def sql_normalize(x: str) -> str:

@@ -38,13 +38,13 @@ def by_salience_and_heat(memories: DataFrame, heat: DataFrame, now: float = NOW)
 
 
 def ripple(memories: DataFrame, results: DataFrame, token_col: str = "tokens", sources: int = 5, each: int = 10, amount: float = 0.5) -> DataFrame:
-    """(memory_id, source_id, amount): from the best ``sources`` results of each query, the ``each`` newest other memories
-    with most tokens in common."""
-    from pyspark.sql import Window
-
-    t = memories.select("memory_id", "seq", F.explode(token_col).alias("token"))
-    src = results.where(F.col("rank") <= sources).select(F.col("memory_id").alias("source_id")).distinct()
-    st = src.join(t, src["source_id"] == t["memory_id"]).select("source_id", "token")
-    hit = st.join(t, "token").where(F.col("memory_id") != F.col("source_id")).groupBy("source_id", "memory_id", "seq").agg(F.count("*").alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("shared"), F.desc("seq"), "memory_id"))
-    return hit.withColumn("r", rank).where(F.col("r") <= each).select("memory_id", "source_id", F.lit(amount).alias("amount"))
+    """(query_id, memory_id, amount): what a recall sets off in other memories. The tokens of each of the best ``sources``
+    results of a query (query_id, memory_id, rank) are asked with recall_fast for ``each`` memories; what comes, but for
+    the source itself, is boosted once a query."""
+    from recallgrid.operators.recall import recall_fast
+
+    src = results.where(F.col("rank") <= sources).select(F.col("query_id").alias("asked_by"), "memory_id").distinct()
+    own = src.select("memory_id").distinct().join(memories.select("memory_id", F.explode(token_col).alias("cue")), "memory_id")
+    hit = recall_fast(memories, own.select(F.col("memory_id").alias("query_id"), "cue", F.lit(1.0).alias("weight")), limit=each).where("memory_id <> query_id")
+    to = hit.select(F.col("query_id").alias("source_id"), "memory_id")
+    return src.withColumnRenamed("memory_id", "source_id").join(to, "source_id").select(F.col("asked_by").alias("query_id"), "memory_id").distinct().withColumn("amount", F.lit(amount))

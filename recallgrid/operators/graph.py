@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallgrid.config import Tuning
+from recallgrid.config import Normalization, Taxonomy, Tuning
 from recallgrid.functions import cues as C
+from recallgrid.functions import text as T
 from recallgrid.functions.scoring import label
 from recallgrid.operators.index import cooccurrence, frequency, postings
 
 
 def context_expand(cooc: DataFrame, queries: DataFrame, limit: int = 20, min_score: float = 0.0) -> DataFrame:
-    """(project_id, query_id, term, score, n, sources): cues that occur with the query's, n over all of them; the score is
-    the share of the largest n. ``min_score`` applies after the limit."""
+    """(project_id, query_id, term, score, n, sources): cues that occur with the query's, n over all of them, which is the
+    score. Terms with a colon, terms of the query and, for each of its cues, terms that contain it are left out.
+    ``min_score`` applies after the limit."""
     q = queries.select("query_id", C.index_form(F.col("cue")).alias("cue")).where("cue <> ''").distinct()
-    near = cooc.join(q, cooc["cue_a"] == q["cue"]).drop("cue")
+    near = cooc.join(q, cooc["cue_a"] == q["cue"]).drop("cue").where(~F.contains("cue_b", F.lit(":")) & ~F.contains("cue_b", "cue_a"))
     asked = q.select("query_id", F.col("cue").alias("cue_b"))
     t = near.join(asked, ["query_id", "cue_b"], "left_anti").groupBy("project_id", "query_id", F.col("cue_b").alias("term")).agg(F.sum("n").alias("n"), F.array_sort(F.collect_set("cue_a")).alias("sources"))
     by = Window.partitionBy("project_id", "query_id")
-    t = t.withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "term")).cast("int")).withColumn("score", F.round(F.col("n") / F.max("n").over(by), 6)).where(F.col("rank") <= limit)
+    t = t.withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "term")).cast("int")).withColumn("score", F.col("n").cast("double")).where(F.col("rank") <= limit)
     return t.where(F.col("score") >= min_score)
 
 
+def text_cues(texts: DataFrame, normalization: Normalization = Normalization(), lang: str = "default") -> DataFrame:
+    """(query_id, token, cue) of ``texts`` (query_id, text): tokens and phrases, and what the rules make of them."""
+    t = texts.select("query_id", F.explode(T.cues(F.col("text"), lang)).alias("token"))
+    return t.withColumn("cue", C.normalize_cue(F.col("token"), normalization)[0])
+
+
+def context_expand_text(cooc: DataFrame, texts: DataFrame, limit: int = 20, min_score: float = 0.0, normalization: Normalization = Normalization()) -> DataFrame:
+    """context_expand of the cues of ``texts`` (query_id, text)."""
+    return context_expand(cooc, text_cues(texts, normalization), limit, min_score)
+
+
 def graph_nodes(memories: DataFrame, limit: int = 100) -> DataFrame:
     """Memory nodes (the most recently touched, 0: all) and the cue nodes that they have."""
     top = memories.orderBy(F.desc("created_at"), F.desc("seq"), "memory_id")
@@ -59,14 +74,17 @@ def train_lexicon(memories: DataFrame, token_col: str = "tokens", synonyms: Data
     return out.distinct()
 
 
-def resolve(lexicon: DataFrame, texts: DataFrame, limit: int = 64) -> DataFrame:
+def resolve(lexicon: DataFrame, texts: DataFrame, limit: int = 64, normalization: Normalization = Normalization(), taxonomy: Taxonomy | None = None) -> DataFrame:
     """(query_id, cue): canonical cues of each text's tokens (``texts``: query_id, tokens), the tokens themselves where the
-    lexicon has none of them. The ``limit`` entries with most tokens of the text count, then by name."""
+    lexicon has none of them; then the rules of ``normalization``, and what ``taxonomy`` rejects goes. The ``limit``
+    entries with most tokens of the text count, then by name."""
     t = texts.select("query_id", F.explode("tokens").alias("token"))
     hit = t.join(lexicon, "token").groupBy("query_id", "canonical").agg(F.countDistinct("token").alias("n"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "canonical"))
     top = hit.withColumn("r", rank).where(F.col("r") <= limit).select("query_id", F.col("canonical").alias("cue"))
-    return top.unionByName(t.join(hit, "query_id", "left_anti").select("query_id", F.col("token").alias("cue"))).distinct()
+    raw = top.unionByName(t.join(hit, "query_id", "left_anti").select("query_id", F.col("token").alias("cue")))
+    out = raw.select("query_id", C.normalize_cue(F.col("cue"), normalization)[0].alias("cue")).distinct()
+    return out if taxonomy is None else out.where(C.taxonomy_code(F.col("cue"), taxonomy).isNull())
 
 
 def inspect_lexicon(memories: DataFrame, lexicon: DataFrame, cue: str, token_col: str = "tokens") -> DataFrame:
@@ -102,24 +120,35 @@ def merge_aliases(aliases: DataFrame, cues: DataFrame, to_cue: str) -> DataFrame
     return aliases.join(new.select("from_cue", "to_cue"), ["from_cue", "to_cue"], "left_anti").unionByName(new)
 
 
-def alias_candidates(memories: DataFrame, low: int = 3, high: int = 5000, top: int = 500, size_ratio: float = 0.5, overlap: float = 0.65) -> DataFrame:
-    """(project_id, canonical, alias, overlap): pairs of cues whose memories largely coincide and whose names agree.
+def alias_id(alias: Column, canonical: Column) -> Column:
+    """The UUID (version 5, OID namespace) of ``alias->canonical``."""
+    h = F.sha1(F.concat(F.unhex(F.lit(uuid.NAMESPACE_OID.hex)), F.concat(alias, F.lit("->"), canonical).cast("binary")))
+    kind = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(kind, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def alias_candidates(memories: DataFrame, low: int = 3, high: int = 5000, top: int = 500, sample: int = 50, size_ratio: float = 0.5, overlap: float = 0.65) -> DataFrame:
+    """(project_id, canonical, alias, overlap, alias_id): pairs of cues whose memories largely coincide and whose names agree.
 
-    Cues with ``low`` to ``high`` memories; the most frequent hundredth is left out and the ``top`` next are compared, as
-    the operator defines. Overlap is exact, from a self join of those cues' postings.
+    Cues of three bytes or more with ``low`` to ``high`` memories; the most frequent hundredth is left out and the ``top``
+    next are compared, as the operator defines. A pair first has to overlap by ``overlap`` - 0.15 in the newest ``sample``
+    memories of each; its overlap is then exact, from a self join of those cues' postings.
     """
     post = postings(memories)
-    df = frequency(post).where((F.col("df") >= low) & (F.col("df") <= high))
+    df = frequency(post).where((F.octet_length("cue") >= 3) & (F.col("df") >= low) & (F.col("df") <= high))
     by = Window.partitionBy("project_id")
     ranked = df.withColumn("rn", F.row_number().over(by.orderBy(F.desc("df"), "cue"))).withColumn("cut", F.floor(F.count("*").over(by) * 0.01))
     some = ranked.where((F.col("rn") > F.col("cut")) & (F.col("rn") <= F.col("cut") + top)).select("project_id", "cue", "df")
-    p = post.join(some, ["project_id", "cue"]).select("project_id", "memory_id", "cue", "df")
-    a, b = p.toDF("project_id", "memory_id", "a", "df_a"), p.toDF("project_id", "memory_id", "b", "df_b")
+    newest = F.row_number().over(Window.partitionBy("project_id", "cue").orderBy(F.desc("seq"), "memory_id")) <= sample  # lists of ``high`` at most
+    p = post.join(some, ["project_id", "cue"]).select("project_id", "memory_id", "cue", "df", newest.alias("newest"))
+    a, b = p.toDF("project_id", "memory_id", "a", "df_a", "new_a"), p.toDF("project_id", "memory_id", "b", "df_b", "new_b")
     gate = (F.col("a") < F.col("b")) & (F.abs(F.col("df_a") - F.col("df_b")) / F.greatest("df_a", "df_b") <= size_ratio) & C.lexical_gate(F.col("a"), F.col("b"))
-    pairs = a.join(b, ["project_id", "memory_id"]).where(gate).groupBy("project_id", "a", "b", "df_a", "df_b").agg(F.count("*").alias("both"))
+    pairs = a.join(b, ["project_id", "memory_id"]).where(gate).groupBy("project_id", "a", "b", "df_a", "df_b").agg(F.count("*").alias("both"), F.count_if(F.col("new_a") & F.col("new_b")).alias("new"))
+    seen = F.col("new") / F.least("df_a", "df_b", F.lit(sample)) >= F.lit(overlap) - 0.15
     share = F.col("both") / F.least("df_a", "df_b")
     canon = C.canonical_of(F.col("a"), F.col("b"))
-    return pairs.where(share >= overlap).select("project_id", canon.alias("canonical"), F.when(canon == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("alias"), F.round(share, 6).alias("overlap"))
+    out = pairs.where(seen & (share >= overlap)).select("project_id", canon.alias("canonical"), F.when(canon == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("alias"), F.round(share, 6).alias("overlap"))
+    return out.withColumn("alias_id", alias_id(F.col("alias"), F.col("canonical")))
 
 
 def expandable(df: DataFrame, total: int, t: Tuning = Tuning()) -> DataFrame:

@@ -21,16 +21,17 @@ def select_memories(results: DataFrame, budget: int = 2048) -> DataFrame:
     fields = ["rank", "memory_id", "content", "score", "intersection_count", "match_integrity", "created_at", "source"]
     r = results.withColumn("tokens", estimate_tokens(F.col("content")))
     g = r.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*fields, "tokens"))).alias("a"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<ok:boolean,left:bigint>>").alias("out"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("place"), F.array().cast("array<struct<ok:boolean,left:bigint,place:int>>").alias("out"))
 
     def step(acc, x):
         ok = acc["used"] + x["tokens"] <= budget
-        return F.struct((acc["used"] + F.when(ok, x["tokens"]).otherwise(F.lit(0).cast("bigint"))).alias("used"), F.array_append(acc["out"], F.struct(ok.alias("ok"), (F.lit(budget).cast("bigint") - acc["used"]).alias("left"))).alias("out"))
+        used = acc["used"] + F.when(ok, x["tokens"]).otherwise(F.lit(0).cast("bigint"))
+        place = acc["place"] + ok.cast("int")
+        return F.struct(used.alias("used"), place.alias("place"), F.array_append(acc["out"], F.struct(ok.alias("ok"), (F.lit(budget).cast("bigint") - acc["used"]).alias("left"), place.alias("place"))).alias("out"))
 
     z = g.select("query_id", F.arrays_zip("a", F.aggregate("a", zero, step)["out"].alias("o")).alias("z"))
-    flat = z.select("query_id", F.posexplode("z").alias("p", "x"), "z").select(
-        "query_id", *[F.col(f"x.a.{f}").alias(f) for f in (*fields, "tokens")], F.col("x.o.ok").alias("chosen"), F.col("x.o.left").alias("left"),
-        F.size(F.filter(F.slice("z", 1, F.col("p") + 1), lambda e: e["o"]["ok"])).alias("place"),
+    flat = z.select("query_id", F.explode("z").alias("x")).select(
+        "query_id", *[F.col(f"x.a.{f}").alias(f) for f in (*fields, "tokens")], F.col("x.o.ok").alias("chosen"), F.col("x.o.left").alias("left"), F.col("x.o.place").alias("place"),
     )
     why = F.format_string("Ranked #%d with score %.2f (%d matches, integrity %.2f)", "place", "score", "intersection_count", "match_integrity")
     reason = F.format_string("Exceeds remaining token budget (needs %d, has %d)", "tokens", "left")

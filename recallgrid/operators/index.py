@@ -18,10 +18,25 @@ def postings(memories: DataFrame) -> DataFrame:
     return memories.select("project_id", "memory_id", "seq", F.explode(keys).alias("cue")).where("cue <> ''")
 
 
-def positioned(post: DataFrame) -> DataFrame:
-    """Postings with pos (0: newest of its cue) and len."""
-    by = Window.partitionBy("project_id", "cue")
-    return post.withColumn("pos", F.row_number().over(by.orderBy(F.desc("seq"), "memory_id")) - 1).withColumn("len", F.count("*").over(by))
+def positioned(post: DataFrame, span: int = 1 << 20) -> DataFrame:
+    """Postings with pos (0: newest of its cue) and len.
+
+    A cue's list is ranked in stretches of ``span`` values of seq, each moved on by the lengths of the newer ones, so that
+    a cue which a third of all memories have is no single task's work.
+    """
+    p = post.withColumn("stretch", F.floor(F.col("seq") / span))
+    key = ["project_id", "cue"]
+    sizes = post.select(*key, F.floor(F.col("seq") / span).alias("stretch")).groupBy(*key, "stretch").agg(F.count("*").alias("n"))
+    by = Window.partitionBy(*key)
+    newer = sizes.select(*key, "stretch", (F.sum("n").over(by.orderBy(F.desc("stretch"))) - F.col("n")).alias("newer"), F.sum("n").over(by).alias("len"))
+    within = F.row_number().over(Window.partitionBy(*key, "stretch").orderBy(F.desc("seq"), "memory_id")) - 1
+    return p.withColumn("within", within).join(newer, [*key, "stretch"]).withColumn("pos", F.col("within") + F.col("newer")).select(*post.columns, "pos", "len")
+
+
+def build(memories: DataFrame, path: str) -> DataFrame:
+    """Writes the postings with their places, sorted by cue so that files and row groups can be passed over, and reads them."""
+    positioned(postings(memories)).repartitionByRange("cue", "pos").sortWithinPartitions("cue", "pos").write.mode("overwrite").parquet(path)
+    return memories.sparkSession.read.parquet(path)
 
 
 def frequency(post: DataFrame) -> DataFrame:
@@ -37,12 +52,13 @@ def recent(post: DataFrame, limit: int) -> DataFrame:
 def cooccurrence(memories: DataFrame) -> DataFrame:
     """(project_id, cue_a, cue_b, n), both directions: unordered pairs of a memory's cue list, repeats counted.
 
-    Pairs are made inside the row, so that only counted pairs are shuffled, after a partial count on the map side.
+    Pairs are made inside the row, one side after the other, so that no row holds them all; only counted pairs are
+    shuffled, after a partial count on the map side.
     """
     c = F.filter(F.transform("cues", index_form), lambda x: x != "")
-    pairs = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.greatest(F.size("c") - i - 1, F.lit(0))), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))))
-    one = memories.select("project_id", c.alias("c")).select("project_id", F.explode(F.filter(pairs, lambda p: p["a"] != p["b"])).alias("p"))
-    half = one.groupBy("project_id", F.col("p.a").alias("cue_a"), F.col("p.b").alias("cue_b")).agg(F.count("*").alias("n"))
+    side = memories.select("project_id", c.alias("c")).select("project_id", "c", F.posexplode("c").alias("i", "x"))
+    one = side.select("project_id", "x", F.explode(F.slice("c", F.col("i") + 2, F.greatest(F.size("c") - F.col("i") - 1, F.lit(0)))).alias("y")).where("x <> y")
+    half = one.groupBy("project_id", F.least("x", "y").alias("cue_a"), F.greatest("x", "y").alias("cue_b")).agg(F.count("*").alias("n"))
     return half.select("project_id", "n", F.explode(F.array(F.struct("cue_a", "cue_b"), F.struct(F.col("cue_b").alias("cue_a"), F.col("cue_a").alias("cue_b")))).alias("p")).select("project_id", "p.cue_a", "p.cue_b", "n")
 
 
@@ -103,46 +119,81 @@ def first_cue(cues: Column) -> Column:
     return F.get(cues, F.lit(0))
 
 
+def similar_sets(classes: DataFrame, theta: float) -> DataFrame:
+    """(project_id, a, b): pairs, a < b, of ``classes`` (project_id, id, cues: distinct) whose Jaccard reaches ``theta``.
+
+    Only sets that share one of their rarest cues are compared: with theta of a set of n cues in common at least, the
+    first n - ceil(theta n) + 1 in the order of frequency can't all be missing from the other (prefix filter).
+    """
+    c = classes.select("project_id", "id", "cues", F.explode("cues").alias("cue"))
+    df = c.groupBy("project_id", "cue").agg(F.count("*").alias("df"))
+    rare = c.join(df, ["project_id", "cue"]).groupBy("project_id", "id").agg(F.array_sort(F.collect_list(F.struct("df", "cue"))).alias("o"))
+    head = rare.select("project_id", "id", F.size("o").alias("n"), F.explode(F.slice("o", 1, F.size("o") - F.ceil(F.size("o") * theta - 1e-9).cast("int") + 1)).alias("o")).select("project_id", "id", "n", "o.cue")
+    a, b = head.toDF("project_id", "a", "na", "cue"), head.toDF("project_id", "b", "nb", "cue")
+    near = a.join(b, ["project_id", "cue"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * theta - 1e-9)).select("project_id", "a", "b").distinct()
+    sets = classes.select("project_id", "id", "cues")
+    full = near.join(sets.toDF("project_id", "a", "ca"), ["project_id", "a"]).join(sets.toDF("project_id", "b", "cb"), ["project_id", "b"])
+    both = F.size(F.array_intersect("ca", "cb"))
+    return full.where(both / (F.size("ca") + F.size("cb") - both) >= theta).select("project_id", "a", "b")
+
+
 def consolidate(memories: DataFrame, theta: float = 0.9) -> DataFrame:
-    """(project_id, group_id, members): greedy groups in seq order within a first cue, Jaccard of cue sets >= theta with
-    the leader, two members at least.
+    """(project_id, group_id, memory_id), one row per member: greedy groups in the order of seq.
 
-    A bucket (one first cue of one project) is folded in one task; equal cue sets are one candidate leader there, so a
-    bucket costs the number of its distinct sets squared, not of its memories.
+    A memory that is in no group yet leads one with all such memories that have its first cue in their postings (in any
+    place, or as the value of a cue) and a Jaccard of their cues of ``theta`` at least with it; groups have two members at
+    least. Summaries (cue type:summary) and memories without cues are left out. Memories of equal cues always go together,
+    so they are one class led by the first of them; of classes only similar ones meet, and each connected set of them is
+    resolved in one task, which holds its classes and links, never its memories.
     """
+    from recallgrid.operators.components import components
 
-    def groups(pdf):
+    some = memories.where((F.size("cues") > 0) & ~F.array_contains("cues", "type:summary")).select("project_id", "memory_id", "seq", F.array_sort(F.array_distinct("cues")).alias("k"), index_form(first_cue(F.col("cues"))).alias("first"))
+    cls = some.groupBy("project_id", F.col("k").alias("cues")).agg(F.min(F.struct("seq", "memory_id", "first")).alias("lead"), F.count("*").alias("n")).select("project_id", "cues", F.col("lead.memory_id").alias("id"), "lead.seq", "lead.first", "n")
+    pairs = similar_sets(cls, theta)
+    keys = F.array_distinct(F.flatten(F.transform("cues", index_keys)))
+    side = cls.select("project_id", "id", "first", keys.alias("keys"))
+    x, y = (side.select("project_id", F.col("id").alias(v), F.col("first").alias(f"first_{v}"), F.col("keys").alias(f"keys_{v}")) for v in "ab")
+    links = pairs.join(x, ["project_id", "a"]).join(y, ["project_id", "b"]).select("project_id", F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.expr("array_contains(keys_b, first_a)").alias("ok")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.expr("array_contains(keys_a, first_b)").alias("ok")))).alias("l")).where("l.ok").select("project_id", "l.src", "l.dst")
+    node = lambda c: F.struct("project_id", F.col(c).alias("id"))
+    parts = components(links.select(node("src").alias("a"), node("dst").alias("b")))
+    joined = cls.join(parts.select("node.project_id", "node.id", "root"), ["project_id", "id"]).join(links.groupBy("project_id", F.col("src").alias("id")).agg(F.collect_list("dst").alias("to")), ["project_id", "id"], "left")
+
+    def resolve(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["seq", "memory_id"])
-        leaders, lead_of, out = [], {}, {}
-        for mid, cues in zip(pdf["memory_id"], pdf["cues"]):
-            s = frozenset(cues)
-            got = lead_of.get(s)
-            if got is None:
-                for lead, ls in leaders:
-                    if len(s & ls) / max(len(s | ls), 1) >= theta:
-                        got = lead
-                        break
-                else:
-                    leaders.append((mid, s))
-                    got = mid
-                lead_of[s] = got
-            out.setdefault(got, []).append(mid)
-        rows = [(pdf["project_id"].iloc[0], g, m) for g, m in out.items() if len(m) > 1]
-        return pd.DataFrame(rows, columns=["project_id", "group_id", "members"])
-
-    some = memories.where(F.size("cues") > 0).select("project_id", "memory_id", "seq", "cues", first_cue(F.col("cues")).alias("first"))
-    return some.groupBy("project_id", "first").applyInPandas(groups, "project_id string, group_id string, members array<string>")
+        pdf = pdf.sort_values(["seq", "id"])
+        seen, rows = set(), []
+        for c, n, to in zip(pdf["id"], pdf["n"], pdf["to"]):
+            if c in seen:
+                continue
+            got = [d for d in (to if to is not None else []) if d not in seen]
+            if n > 1 or got:
+                seen.update([c, *got])
+                rows += [(c, d) for d in [c, *got]]
+        return pd.DataFrame([(pdf["project_id"].iloc[0], g, m) for g, m in rows], columns=["project_id", "group_id", "id"])
+
+    led = joined.select("project_id", "root", "id", "seq", "n", "to").groupBy("project_id", "root").applyInPandas(resolve, "project_id string, group_id string, id string")
+    alone = cls.where("n > 1").join(parts.select("node.project_id", "node.id"), ["project_id", "id"], "left_anti").select("project_id", F.col("id").alias("group_id"), "id")
+    of = led.unionByName(alone).join(cls.select("project_id", "id", F.col("cues").alias("k")), ["project_id", "id"])
+    return some.select("project_id", "memory_id", "k").join(of, ["project_id", "k"]).select("project_id", "group_id", "memory_id")
 
 
 def summaries(memories: DataFrame, groups: DataFrame, limit: int = 1000) -> DataFrame:
-    """A summary row per group: contents joined, cues united with type:summary, salience averaged and raised by a fifth."""
-    m = groups.select("project_id", "group_id", F.explode("members").alias("memory_id")).join(memories, ["project_id", "memory_id"])
-    agg = m.groupBy("project_id", "group_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "memory_id", "content", "cues"))).alias("g"), F.avg("intrinsic_salience").alias("i"), F.max("dynamic_salience").alias("d"), F.sum("reinforcement_count").alias("r"), F.count("*").alias("n")
-    )
-    text = F.array_join(F.transform("g", lambda x: x["content"]), "\n---\n")
+    """A summary row per group (``groups``: project_id, group_id, memory_id): a head line and the contents in the order of
+    seq, cues united with type:summary, salience averaged and raised by a fifth.
+
+    A group's text stops at ``limit`` characters, to which a group's first limit / 5 members are enough (each brings a
+    line between), so that no more of them are gathered however many it has.
+    """
+    m = groups.join(memories, ["project_id", "memory_id"])
+    key = ["project_id", "group_id"]
+    agg = m.groupBy(*key).agg(F.avg("intrinsic_salience").alias("i"), F.max("dynamic_salience").alias("d"), F.sum("reinforcement_count").alias("r"), F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("seq", "memory_id"))
+    lines = m.select(*key, "seq", "memory_id", "content").withColumn("rn", rank).where(F.col("rn") <= limit // 5 + 2)
+    texts = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "memory_id", "content"))).alias("g"))
+    cues = m.select(*key, F.explode("cues").alias("cue")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list("cue")).alias("cues"))
+    text = F.concat(F.lit("[Consolidated Memory]\n"), F.array_join(F.transform("g", lambda x: x["content"]), "\n---\n"))
     short = F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("... [truncated]"))).otherwise(text)
-    cues = F.array_union(F.array_sort(F.array_distinct(F.flatten(F.transform("g", lambda x: x["cues"])))), F.array(F.lit("type:summary")))
-    return agg.select("project_id", F.concat(F.lit("summary:"), F.col("group_id")).alias("memory_id"), short.alias("content"), cues.alias("cues"), (F.col("i") * 1.2).alias("intrinsic_salience"), F.col("d").alias("dynamic_salience"), F.col("r").alias("reinforcement_count"), F.col("n").alias("original_count"))
+    every = F.array_union("cues", F.array(F.lit("type:summary")))
+    return agg.join(texts, key).join(cues, key).select("project_id", F.concat(F.lit("summary:"), F.col("group_id")).alias("memory_id"), short.alias("content"), every.alias("cues"), (F.col("i") * 1.2).alias("intrinsic_salience"), F.col("d").alias("dynamic_salience"), F.col("r").alias("reinforcement_count"), F.col("n").alias("original_count"))

@@ -53,18 +53,30 @@ def recall(
     t: Tuning = Tuning(),
     across: bool = False,
     post: DataFrame | None = None,
+    index: DataFrame | None = None,
+    fold: bool = False,
 ) -> DataFrame:
     """FULL columns (and project_id) of the best ``limit`` memories of every query and project (``across``: of every query).
 
     scan_cap: only memories among the newest min(limit x 100, 2000) of one of the query's cues are candidates, as a
-    bounded scan would have it; the default looks at all. Ties: newest first, then memory_id.
+    bounded scan would have it; no other memory's postings meet a query then. The default looks at all. ``fold`` answers
+    queries of equal cues and weights once. ``index`` holds stored postings with their places (index.build). Ties: newest
+    first, then memory_id.
     """
-    post = postings(memories) if post is None else post
-    q = query_cues(queries, duplicates)
+    post = (postings(memories) if post is None else post) if index is None else index
+    q, same = query_cues(queries, duplicates), None
+    if fold:
+        sig = q.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("cue", "weight"))).alias("sig"))
+        same = sig.join(sig.groupBy("sig").agg(F.min("query_id").alias("rep")), "sig").select(F.col("query_id").alias("same_id"), F.col("rep").alias("query_id"))
+        q = q.join(same.select("query_id").distinct(), "query_id", "left_semi")
     if completion:
         q = complete(q, cooccurrence(memories), frequency(post).select("project_id", "cue"), t)
     on = ["project_id", "cue"] if completion else ["cue"]
-    x = positioned(post.join(q.select(*on).distinct(), on, "left_semi"))
+    x = post.join(q.select(*on).distinct(), on, "left_semi")
+    x = positioned(x) if index is None else x
+    cap = min(limit * t.scan_factor, t.scan_max)
+    if scan_cap:
+        x = x.join(x.where(F.col("pos") < cap).select("project_id", "memory_id").distinct(), ["project_id", "memory_id"], "left_semi")
     total = memories.groupBy("project_id").agg(F.count("*").alias("total"))
     m = x.join(q, on).join(F.broadcast(total), "project_id")  # a row per project
     r = S.ratio(F.col("pos"), F.col("len"))
@@ -72,7 +84,7 @@ def recall(
     agg = [F.sum("aw").alias("w"), F.count("*").alias("matches"), F.avg(1.0 / (F.col("pos") + 1.0)).alias("recency_score"), F.avg(S.recency_weight(r, t)).alias("w_rec"), F.avg(S.frequency_weight(r, t)).alias("w_freq"), F.min("pos").alias("least_pos")]
     c = m.groupBy("project_id", "query_id", "memory_id").agg(*agg)
     if scan_cap:
-        c = c.where(F.col("least_pos") < min(limit * t.scan_factor, t.scan_max))
+        c = c.where(F.col("least_pos") < cap)
     if min_intersection is not None:
         c = c.where(F.col("matches") >= min_intersection)
     stats = memories.select("project_id", "memory_id", "seq", "created_at", "cues", "intrinsic_salience", "dynamic_salience", "last_boosted_at", "reinforcement_count")
@@ -92,6 +104,8 @@ def recall(
     by = ["query_id"] if across else ["project_id", "query_id"]
     order = Window.partitionBy(*by).orderBy(F.desc(F.round("score", 9)), F.desc("seq"), "memory_id")
     top = c.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    if same is not None:
+        top = top.join(same, "query_id").drop("query_id").withColumnRenamed("same_id", "query_id")
     six = lambda n: F.round(n, 6).alias(n)
     return top.select(
         "project_id", "query_id", "memory_id", six("score"), six("match_integrity"), F.col("matches").alias("intersection_count"), six("recency_score"), six("reinforcement_score"), six("salience_score"), "created_at", F.round("w", 6).alias("intersection_weighted"), F.col("rank").cast("int").alias("rank")

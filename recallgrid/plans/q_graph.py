@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recallgrid.config import NOW
+from recallgrid.config import NOW, Normalization, Rule, Taxonomy
 from recallgrid.functions import scoring as S
 from recallgrid.functions import text as T
+from recallgrid.operators import answer as A
 from recallgrid.operators import dynamics as D
 from recallgrid.operators import graph as G
 from recallgrid.operators import grounding as GR
@@ -27,24 +28,40 @@ def cooccurrence(spark, sf):
 
 
 def _expand_sql(q: str, limit: int, least: float = 0.0) -> str:
-    return f"""WITH mem AS ({sql_orders()}), co AS ({sql_cooc()}), q AS (SELECT DISTINCT query_id, trim(lower(cue)) AS cue FROM ({q})),
-t AS (SELECT query_id, cue_b AS term, sum(n)::BIGINT AS n, list_sort(list(DISTINCT cue_a)) AS src FROM co JOIN q ON cue_a = cue WHERE NOT EXISTS (SELECT 1 FROM q z WHERE z.query_id = q.query_id AND z.cue = cue_b) GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) AS rk, max(n) OVER (PARTITION BY query_id) AS top FROM t)
-SELECT query_id, term, n, array_to_string(src, ',') AS sources, rk::INTEGER AS rank, round(n / top, 6) AS score FROM r WHERE rk <= {limit} AND round(n / top, 6) >= {least}"""
+    return f"""WITH mem AS ({MEM_PARTS}), co AS ({sql_cooc()}), q AS (SELECT DISTINCT query_id, trim(lower(cue)) AS cue FROM ({q})),
+t AS (SELECT query_id, cue_b AS term, sum(n)::BIGINT AS n, list_sort(list(DISTINCT cue_a)) AS src FROM co JOIN q ON cue_a = cue WHERE instr(cue_b, ':') = 0 AND instr(cue_b, cue_a) = 0 AND (query_id, cue_b) NOT IN (SELECT query_id, cue FROM q) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) AS rk FROM t)
+SELECT query_id, term, n, array_to_string(src, ',') AS sources, rk::INTEGER AS rank, n::DOUBLE AS score FROM r WHERE rk <= {limit} AND n >= {least}"""
 
 
-def _expand(spark, sf, rows, **how):
-    return G.context_expand(I.cooccurrence(mem_orders(spark, sf)), _q(spark, rows), **how).select("query_id", "term", "n", F.array_join("sources", ",").alias("sources"), "rank", "score")
+PARTS_Q = [(1, "Widget", 1.0), (1, "type:economy", 1.0), (2, "brand:Brand#13", 1.0), (3, "cold", 1.0), (3, "cold", 1.0), (3, "small", 1.0), (3, "nothing", 1.0)]
 
 
-@query(_expand_sql(_values(ORDERS_Q), 20))
+def _expand(df):
+    return df.select("query_id", "term", "n", F.array_join("sources", ",").alias("sources"), "rank", "score")
+
+
+@query(_expand_sql(_values(PARTS_Q), 20))
 def context_expand(spark, sf):
-    return _expand(spark, sf, ORDERS_Q)
+    return _expand(G.context_expand(I.cooccurrence(mem_parts(spark, sf)), _q(spark, PARTS_Q)))
 
 
-@query(_expand_sql(_values(ORDERS_Q[-2:-1]), 5, 0.5))
+@query(_expand_sql(_values(PARTS_Q[2:3]), 5, 3))
 def context_expand_single(spark, sf):
-    return _expand(spark, sf, ORDERS_Q[-2:-1], limit=5, min_score=0.5)
+    return _expand(G.context_expand(I.cooccurrence(mem_parts(spark, sf)), _q(spark, PARTS_Q[2:3]), limit=5, min_score=3))
+
+
+_ASKED = "SELECT n_nationkey AS query_id, 'the ' || p_name || ' and its type:' || lower(p_type) AS text FROM nation JOIN part ON p_partkey = n_nationkey"
+
+
+def _asked(spark, sf):
+    n, p = read(spark, sf, "nation"), read(spark, sf, "part")
+    return n.join(p, n["n_nationkey"] == p["p_partkey"]).select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("the "), "p_name", F.lit(" and its type:"), F.lower("p_type")).alias("text"))
+
+
+@query(_expand_sql(f"SELECT query_id, unnest(list_concat({T.sql_tokens('text')}, {T.sql_phrases('text')})) AS cue, 1.0 AS weight FROM ({_ASKED})", 20))
+def context_expand_text(spark, sf):
+    return _expand(G.context_expand_text(I.cooccurrence(mem_parts(spark, sf)), _asked(spark, sf)))
 
 
 _TOP = f"WITH mem AS ({sql_orders()}), top AS (SELECT * FROM mem ORDER BY created_at DESC, seq DESC, memory_id LIMIT 100)"
@@ -117,12 +134,17 @@ def alias_expand(spark, sf):
 _TOKS = "list_filter(regexp_split_to_array(lower({}), '[:_-]'), lambda z: strlen(z) >= 3)"
 
 
-@query(f"""WITH mem AS ({MEM_PARTS}), p AS ({sql_postings()}), d AS (SELECT project_id, cue, count(*) AS df FROM p GROUP BY 1, 2 HAVING count(*) BETWEEN 3 AND 5000),
+_UUID = "sha1(from_hex('6ba7b8129dad11d180b400c04fd430c8') || encode({0} || '->' || {1}))"
+
+
+@query(f"""WITH mem AS ({MEM_PARTS}), p AS ({sql_postings()}), d AS (SELECT project_id, cue, count(*) AS df FROM p WHERE strlen(cue) >= 3 GROUP BY 1, 2 HAVING count(*) BETWEEN 3 AND 5000),
 r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY df DESC, cue) AS rn, floor(count(*) OVER (PARTITION BY project_id) * 0.01) AS cut FROM d), s AS (SELECT * FROM r WHERE rn > cut AND rn <= cut + 500),
-x AS (SELECT a.project_id, a.cue AS a, b.cue AS b, sa.df AS da, sb.df AS db, count(*) AS n FROM p a JOIN p b ON a.project_id = b.project_id AND a.memory_id = b.memory_id AND a.cue < b.cue JOIN s sa ON sa.project_id = a.project_id AND sa.cue = a.cue JOIN s sb ON sb.project_id = b.project_id AND sb.cue = b.cue
-  WHERE abs(sa.df - sb.df) / greatest(sa.df, sb.df) <= 0.5 AND (contains(a.cue, b.cue) OR contains(b.cue, a.cue) OR list_has_any({_TOKS.format('a.cue')}, {_TOKS.format('b.cue')})) GROUP BY ALL),
-c AS (SELECT *, CASE WHEN contains(a, ':') AND NOT contains(b, ':') THEN a WHEN contains(b, ':') AND NOT contains(a, ':') THEN b ELSE least(a, b) END AS canonical FROM x WHERE n / least(da, db) >= 0.65)
-SELECT project_id, canonical, CASE WHEN canonical = a THEN b ELSE a END AS alias, round(n / least(da, db), 6) AS overlap FROM c""")
+w AS (SELECT p.project_id, p.memory_id, p.cue, df, row_number() OVER (PARTITION BY p.project_id, p.cue ORDER BY seq DESC, p.memory_id) AS age FROM p JOIN s USING (project_id, cue)),
+x AS (SELECT a.project_id, a.cue AS a, b.cue AS b, a.df AS da, b.df AS db, count(*) AS n, count(CASE WHEN a.age <= 50 AND b.age <= 50 THEN 1 END) AS fresh FROM w a JOIN w b ON a.project_id = b.project_id AND a.memory_id = b.memory_id AND a.cue < b.cue
+  WHERE abs(a.df - b.df) / greatest(a.df, b.df) <= 0.5 AND (contains(a.cue, b.cue) OR contains(b.cue, a.cue) OR list_has_any({_TOKS.format('a.cue')}, {_TOKS.format('b.cue')})) GROUP BY ALL),
+c AS (SELECT *, CASE WHEN contains(a, ':') AND NOT contains(b, ':') THEN a WHEN contains(b, ':') AND NOT contains(a, ':') THEN b ELSE least(a, b) END AS canonical FROM x WHERE fresh / least(da, db, 50) >= 0.5 AND n / least(da, db) >= 0.65),
+o AS (SELECT project_id, canonical, CASE WHEN canonical = a THEN b ELSE a END AS alias, round(n / least(da, db), 6) AS overlap FROM c), h AS (SELECT *, {_UUID.format('alias', 'canonical')} AS h FROM o)
+SELECT project_id, canonical, alias, overlap, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ('89ab')[strpos('0123456789abcdef', h[17]) - 1 - 4 * ((strpos('0123456789abcdef', h[17]) - 1) // 4) + 1] || h[18:20] || '-' || h[21:32] AS alias_id FROM h""")
 def alias_candidates(spark, sf):
     return G.alias_candidates(mem_parts(spark, sf))
 
@@ -243,10 +265,26 @@ l AS (SELECT project_id, f, k, arg_min(memory_id, seq) AS leader, count(*) AS n
 @query(f"WITH {_CONS} SELECT s.memory_id, leader AS group_id FROM s JOIN l ON s.f = l.f AND s.k = l.k")
 def consolidate_groups(spark, sf):
     """Four cues each: a Jaccard of 0.9 means equal sets, which the oracle says by grouping."""
-    return I.consolidate(mem_orders(spark, sf)).select(F.explode("members").alias("memory_id"), "group_id")
+    return I.consolidate(mem_orders(spark, sf)).select("memory_id", "group_id")
+
+
+_SIM = f"mem AS (SELECT * REPLACE (list_reverse_sort(cues) AS cues) FROM ({MEM_PARTS})), p AS ({sql_postings()})"
+
+
+@query(f"""WITH RECURSIVE {_SIM}, s AS (SELECT *, row_number() OVER (ORDER BY seq, memory_id) AS i FROM mem),
+j AS (SELECT a.i, b.i AS other FROM s a JOIN p ON p.cue = lower(a.cues[1]) JOIN s b ON b.memory_id = p.memory_id AND b.i <> a.i WHERE len(list_intersect(a.cues, b.cues)) / len(list_distinct(list_concat(a.cues, b.cues))) >= 0.6),
+adj AS (SELECT s.i, coalesce(list(other ORDER BY other) FILTER (other IS NOT NULL), []) AS a FROM s LEFT JOIN j USING (i) GROUP BY 1),
+f(i, seen, g) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL
+  SELECT i, CASE WHEN led THEN list_concat(seen, list_prepend(i, fresh)) ELSE seen END, CASE WHEN led THEN list_prepend(i, fresh) ELSE [] END
+  FROM (SELECT i, seen, fresh, NOT list_contains(seen, i) AND len(fresh) > 0 AS led FROM (SELECT adj.i, f.seen, list_filter(adj.a, lambda x: NOT list_contains(f.seen, x)) AS fresh FROM f JOIN adj ON adj.i = f.i + 1)))
+SELECT m.memory_id, l.memory_id AS group_id FROM (SELECT i, unnest(g) AS member FROM f) JOIN s m ON m.i = member JOIN s l USING (i)""")
+def consolidate_similar(spark, sf):
+    """Groups of unequal sets, by a fold over all memories in the oracle."""
+    m = mem_parts(spark, sf).withColumn("cues", F.reverse(F.array_sort("cues")))
+    return I.consolidate(m, 0.6).select("memory_id", "group_id")
 
 
-@query(f"""WITH {_CONS}, g AS (SELECT leader, count(*) AS original_count, string_agg(content, chr(10) || '---' || chr(10) ORDER BY m.seq, m.memory_id) AS t, any_value(s.k) AS k, avg(intrinsic_salience) * 1.2 AS i, max(dynamic_salience) AS d, sum(reinforcement_count)::BIGINT AS r
+@query(f"""WITH {_CONS}, g AS (SELECT leader, count(*) AS original_count, '[Consolidated Memory]' || chr(10) || string_agg(content, chr(10) || '---' || chr(10) ORDER BY m.seq, m.memory_id) AS t, any_value(s.k) AS k, avg(intrinsic_salience) * 1.2 AS i, max(dynamic_salience) AS d, sum(reinforcement_count)::BIGINT AS r
   FROM s JOIN l ON s.f = l.f AND s.k = l.k JOIN mem m ON m.memory_id = s.memory_id GROUP BY 1)
 SELECT 'summary:' || leader AS memory_id, CASE WHEN length(t) > 1000 THEN left(t, 1000) || '... [truncated]' ELSE t END AS content, array_to_string(list_append(k, 'type:summary'), ',') AS cues, round(i, 6) AS intrinsic_salience, round(d, 6) AS dynamic_salience, r AS reinforcement_count, original_count FROM g""")
 def consolidate_summaries(spark, sf):
@@ -255,15 +293,17 @@ def consolidate_summaries(spark, sf):
     return s.select("memory_id", "content", F.array_join("cues", ",").alias("cues"), F.round("intrinsic_salience", 6).alias("intrinsic_salience"), F.round("dynamic_salience", 6).alias("dynamic_salience"), "reinforcement_count", "original_count")
 
 
-
-
-@query(f"""WITH t AS (SELECT DISTINCT 'part:' || p_partkey AS memory_id, p_partkey AS seq, unnest(string_split(p_type, ' ')) AS token FROM part), src AS (SELECT 'part:' || n_nationkey AS s FROM nation WHERE n_nationkey BETWEEN 1 AND 5),
-h AS (SELECT s AS source_id, b.memory_id, b.seq, count(*) AS shared FROM src JOIN t a ON a.memory_id = s JOIN t b ON a.token = b.token AND b.memory_id <> s GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY shared DESC, seq DESC, memory_id) AS rk FROM h)
-SELECT memory_id, source_id, 0.5::DOUBLE AS amount FROM r WHERE rk <= 10""")
+@query(f"""WITH mem AS ({MEM_PARTS}), p AS ({sql_postings()}), res AS (SELECT n_regionkey AS query_id, 'part:' || n_nationkey AS s FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) <= 5),
+q AS (SELECT DISTINCT s, unnest(tokens) AS cue FROM res JOIN mem ON memory_id = s), n AS (SELECT *, row_number() OVER (PARTITION BY cue ORDER BY seq DESC, memory_id) AS age FROM p),
+h AS (SELECT DISTINCT s, memory_id FROM q JOIN n USING (cue) WHERE age <= 20),
+r AS (SELECT s, h.memory_id, row_number() OVER (PARTITION BY s ORDER BY reinforcement_count DESC, intrinsic_salience + dynamic_salience DESC, created_at DESC, seq DESC, h.memory_id) AS rk FROM h JOIN mem USING (memory_id))
+SELECT DISTINCT query_id, r.memory_id, 0.5::DOUBLE AS amount FROM res JOIN r USING (s) WHERE rk <= 10 AND r.memory_id <> s""")
 def ripple_reinforcement(spark, sf):
-    m = read(spark, sf, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("memory_id"), F.col("p_partkey").alias("seq"), F.array_distinct(F.split("p_type", " ")).alias("tokens"))
-    res = read(spark, sf, "nation").where("n_nationkey between 1 and 25").select(F.concat(F.lit("part:"), "n_nationkey").alias("memory_id"), F.col("n_nationkey").alias("rank"))
-    return D.ripple(m, res)
+    from pyspark.sql import Window
+
+    n = read(spark, sf, "nation")
+    res = n.select(F.col("n_regionkey").alias("query_id"), F.concat(F.lit("part:"), "n_nationkey").alias("memory_id"), F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("rank"))
+    return D.ripple(mem_parts(spark, sf), res)
 
 
 # ---- grounding ----
@@ -302,9 +342,65 @@ def grounded_context(spark, sf):
     return GR.context_block(_selection(spark, sf))
 
 
-@query()
+_KEY = b"a key of the caller"
+_PADS = [bytes(x ^ pad for x in _KEY.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+_HMAC = f"sha256(from_hex('{_PADS[1]}') || from_hex(sha256(from_hex('{_PADS[0]}') || encode({{0}}))))"
+_BLOCK = "'[VERIFIED CONTEXT]' || chr(10) || string_agg(format('({:d}) {} (source={}, id={}, score={:.2f}, ts={})', place, content, source, memory_id, score, strftime(make_timestamp((created_at * 1000000)::BIGINT), '%Y-%m-%dT%H:%M:%SZ')), chr(10) ORDER BY place) || chr(10) || '[/VERIFIED CONTEXT]'"
+
+
+@query(_SEL + f" SELECT query_id, {_HMAC.format('block')} AS signature FROM (SELECT query_id, {_BLOCK} AS block FROM sel WHERE chosen GROUP BY 1)")
 def grounded_signature(spark, sf):
-    return GR.signed(GR.context_block(_selection(spark, sf)), b"a key of the caller").select("query_id", "signature")
+    return GR.signed(GR.context_block(_selection(spark, sf)), _KEY).select("query_id", "signature")
+
+
+# ---- from a text to an answer ----
+
+_RULES = Normalization(rules=(Rule("economy", "^economy$", "type:economy"), Rule("brand", "^brand(#.*)$", "brand:brand$1")))
+_TAX = Taxonomy(keys=("type", "brand"))
+_ALIASES = [("widget", "gadget", 0.5, "active"), ("cold", "type:standard", None, "active"), ("small", "nowhere", 0.9, "active"), ("cold", "hot", 0.7, "proposed")]
+_ACC_TYPE = "SELECT 'part:' || p_partkey AS memory_id, 'kind:' || lower(p_type) AS cue FROM part"
+_TEXT = f"""mem AS ({MEM_PARTS}), p AS ({sql_postings()}), txt AS ({_ASKED}), tk AS (SELECT DISTINCT query_id, unnest(list_concat({T.sql_tokens('text')}, {T.sql_phrases('text')})) AS token FROM txt),
+t AS (SELECT memory_id, unnest(tokens) AS token FROM mem), lex AS (SELECT DISTINCT token AS canonical, token FROM t UNION SELECT cue, token FROM ({_ACC_TYPE}) a JOIN t USING (memory_id) WHERE NOT contains(cue, token)),
+h AS (SELECT query_id, canonical, count(DISTINCT token) AS n FROM tk JOIN lex USING (token) GROUP BY 1, 2), top AS (SELECT query_id, canonical AS raw FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n DESC, canonical) <= 64),
+res AS (SELECT query_id, raw FROM top UNION ALL SELECT query_id, token FROM tk WHERE query_id NOT IN (SELECT query_id FROM h))"""
+_RULED = "regexp_replace(regexp_replace(trim(lower({0})), '^economy$', 'type:economy'), '^brand(#.*)$', 'brand:brand\\1')"
+_AL = "al AS (SELECT * FROM (VALUES ('widget', 'gadget', 0.5), ('cold', 'type:standard', 0.85), ('small', 'nowhere', 0.9)) v(a, b, w))"
+
+
+def _text_sql(own: bool) -> str:
+    more = f" UNION SELECT query_id, {_RULED.format('token')} FROM tk" if own else ""
+    return f"""WITH {_TEXT}, ok AS (SELECT query_id, {_RULED.format('raw')} AS cue FROM res), fit AS (SELECT query_id, cue FROM ok WHERE instr(cue, ':') = 0 OR (split_part(cue, ':', 1) IN ('type', 'brand') AND split_part(cue, ':', 2) <> ''){more}),
+{_AL}, w AS (SELECT DISTINCT query_id, cue, 1.0::DOUBLE AS weight FROM fit UNION ALL SELECT f.query_id, b, w FROM (SELECT DISTINCT * FROM fit) f JOIN al ON a = f.cue JOIN tk ON tk.query_id = f.query_id AND tk.token = f.cue)
+SELECT query_id, cue, max(weight) AS weight FROM w WHERE cue IN (SELECT cue FROM p) GROUP BY 1, 2"""
+
+
+def _text_sides(spark, sf):
+    m = mem_parts(spark, sf)
+    acc = read(spark, sf, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("memory_id"), F.concat(F.lit("kind:"), F.lower("p_type")).alias("cue"))
+    al = spark.createDataFrame(_ALIASES, "from_cue string, to_cue string, downweight double, status string")
+    return m, _asked(spark, sf), G.train_lexicon(m, accepted=acc), {"aliases": al, "normalization": _RULES, "taxonomy": _TAX}
+
+
+@query(_text_sql(True))
+def text_query_cues(spark, sf):
+    m, texts, lex, how = _text_sides(spark, sf)
+    return A.query_cues_of_text(texts, lex, I.postings(m), **how)
+
+
+@query(sql_recall(MEM_PARTS, _text_sql(True)))
+def recall_text(spark, sf):
+    m, texts, lex, how = _text_sides(spark, sf)
+    return A.recall_text(m, texts, lex, **how)
+
+
+_TEXT_SEL = _SEL.replace(_SEL_SRC, f"SELECT query_id, rank, memory_id, content, score, intersection_count, match_integrity, created_at, 'memory' AS source FROM ({sql_recall(MEM_PARTS, _text_sql(False), limit=20)}) JOIN (SELECT memory_id, content FROM ({MEM_PARTS})) USING (memory_id)").replace("2048", "64")
+
+
+@query(_TEXT_SEL + f" SELECT query_id, block, {_HMAC.format('block')} AS signature FROM (SELECT query_id, {_BLOCK} AS block FROM sel WHERE chosen GROUP BY 1)")
+def recall_grounded(spark, sf):
+    """Text to signed context: at least twenty results, sixty-four tokens of room."""
+    m, texts, lex, how = _text_sides(spark, sf)
+    return A.grounded_context(m, texts, lex, _KEY, limit=5, budget=64, **how)
 
 
 # ---- vectors ----

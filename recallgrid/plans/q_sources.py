@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import posixpath
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from recallgrid.functions import text as T
 from recallgrid.plans.registry import query
 from recallgrid.plans.views import mem_orders, read, sql_orders
+from recallgrid.session import shared_dir
 from recallgrid.sources import chunks as C
 from recallgrid.sources import sync as Y
 from recallgrid.sources import web as W
@@ -85,13 +85,13 @@ def chunk_json(spark, sf):
     return C.json_entries(read(spark, sf, "events").where("props is not null"), "event_id", "props")
 
 
-_WA = "SELECT conv_id, string_agg('[' || (1 + turn % 12) || '/' || (1 + conv_id % 28) || '/24, 10:0' || (turn % 10) || ':00] ' || role || ' one: ' || CASE WHEN turn % 5 = 4 THEN 'image omitted' ELSE left(replace(text, chr(10), ' '), 60) END, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY 1"
+_WA = "SELECT conv_id, string_agg('[' || (1 + turn % 12) || '/' || (1 + conv_id % 28) || '/24, 10:0' || (turn % 10) || ':00] ' || role || ' one: ' || CASE WHEN turn % 5 = 4 THEN 'image omitted' ELSE replace(text, chr(10), ' ') END, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY 1"
 
 
-@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS ord, lower(role) || '_one' AS sender, (1 + turn % 12) || '-' || (1 + conv_id % 28) || '-24' AS day, trim(left(replace(text, chr(10), ' '), 60)) AS content FROM conversations QUALIFY turn % 5 <> 4 AND length(trim(left(replace(text, chr(10), ' '), 60))) >= 3")
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS ord, lower(role) || '_one' AS sender, (1 + turn % 12) || '-' || (1 + conv_id % 28) || '-24' AS day, trim(replace(text, chr(10), ' ')) AS content FROM conversations QUALIFY turn % 5 <> 4 AND length(trim(replace(text, chr(10), ' '))) >= 3 AND NOT contains(lower(text), 'omitted')")
 def chunk_whatsapp(spark, sf):
     c = read(spark, sf, "conversations")
-    body = F.when(F.col("turn") % 5 == 4, "image omitted").otherwise(F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(60)))
+    body = F.when(F.col("turn") % 5 == 4, "image omitted").otherwise(F.replace("text", F.lit("\n"), F.lit(" ")))
     line = F.concat(F.lit("["), F.col("turn") % 12 + 1, F.lit("/"), F.col("conv_id") % 28 + 1, F.lit("/24, 10:0"), F.col("turn") % 10, F.lit(":00] "), "role", F.lit(" one: "), body)
     t = c.withColumn("l", line).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "l"))).alias("a")).select("conv_id", F.array_join(F.transform("a", lambda x: x["l"]), "\n").alias("t"))
     return C.whatsapp_messages(t, "conv_id", "t")
@@ -147,12 +147,13 @@ def all_links(spark, sf):
 
 
 @query(rf"""WITH RECURSIVE {_LINKS}, n AS (SELECT DISTINCT {_NORM.format('url')} AS src, {_NORM.format('link')} AS dst FROM e), g AS (SELECT * FROM n WHERE NOT regexp_matches(dst, '{_NON}') AND regexp_extract(src, '^https?://([^/:]+)', 1) = regexp_extract(dst, '^https?://([^/:]+)', 1)),
-c(url, depth) AS (SELECT DISTINCT {_NORM.format('url')}, 0 FROM pages WHERE page_id < 20 UNION SELECT dst, depth + 1 FROM c JOIN g ON src = url WHERE depth < 2)
+c(url, depth) AS (SELECT min({_NORM.format('url')}), 0 FROM pages GROUP BY regexp_extract(url, '^https?://([^/:]+)', 1) UNION SELECT dst, depth + 1 FROM c JOIN g ON src = url WHERE depth < 2)
 SELECT url, min(depth)::INTEGER AS depth FROM c GROUP BY 1""")
 def crawl_frontier(spark, sf):
     p = read(spark, sf, "pages")
     e = W.all_links(p).select(F.col("url").alias("src"), F.col("link").alias("dst"))
-    return W.crawl(p.where("page_id < 20").select("url"), e, 2)  # the seeds of the crawl
+    seeds = p.groupBy(F.regexp_extract("url", r"^https?://([^/:]+)", 1)).agg(F.min(W.normalize_url(F.col("url"))).alias("url"))
+    return W.crawl(seeds.select("url"), e, 2)  # from one page of each host
 
 
 @query(f"SELECT page_id, {_NORM.format('url')} AS normalized FROM pages")
@@ -215,7 +216,6 @@ def chunk_ids(spark, sf):
 
 @query(f"SELECT project_id, memory_id, content, array_to_string(cues, ',') AS cues, seq FROM ({sql_orders(True)})")
 def snapshot_roundtrip(spark, sf):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    path = posixpath.join(folder, f"snapshot-{uuid.uuid4().hex}")
+    path = posixpath.join(shared_dir(spark), f"snapshot-{uuid.uuid4().hex}")
     Y.save_snapshot(mem_orders(spark, sf, by_segment=True), path)
     return Y.load_snapshot(spark, path).select("project_id", "memory_id", "content", F.array_join("cues", ",").alias("cues"), "seq")

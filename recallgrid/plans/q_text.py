@@ -136,11 +136,11 @@ def parse_proposals(spark, sf):
     return c.select("conv_id", "turn", F.explode(C.proposed_cues(r)).alias("cue"))
 
 
-@query(r"SELECT c_custkey, c_name, regexp_matches(c_name, '^[\p{L}\p{N}_-]+$') AND strlen(c_name) BETWEEN 3 AND 64 AS valid FROM customer UNION ALL SELECT doc_id, left(text, 6), regexp_matches(left(text, 6), '^[\p{L}\p{N}_-]+$') AND strlen(left(text, 6)) BETWEEN 3 AND 64 FROM documents")
+@query(r"SELECT kind, id, name, regexp_matches(name, '^[\p{L}\p{N}_-]+$') AND strlen(name) BETWEEN 3 AND 64 AS valid FROM (SELECT 'customer' AS kind, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'part', p_partkey, p_name FROM part UNION ALL SELECT 'source', doc_id, source FROM documents)")
 def validate_project_id(spark, sf):
-    c = read(spark, sf, "customer").select("c_custkey", "c_name")
-    d = read(spark, sf, "documents").select(F.col("doc_id").alias("c_custkey"), F.left("text", F.lit(6)).alias("c_name"))
-    return c.unionByName(d).withColumn("valid", valid_project(F.col("c_name")))
+    sides = [("customer", "customer", "c_custkey", "c_name"), ("part", "part", "p_partkey", "p_name"), ("source", "documents", "doc_id", "source")]
+    rows = [read(spark, sf, t).select(F.lit(kind).alias("kind"), F.col(i).alias("id"), F.col(n).alias("name")) for kind, t, i, n in sides]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("valid", valid_project(F.col("name")))
 
 
 @query("SELECT doc_id, ceil(strlen(text) / 4.0)::BIGINT AS tokens, CASE WHEN strlen(text) > 50 THEN left(text, 50) || '...' ELSE text END AS label FROM documents")

@@ -18,3 +18,12 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     for k, v in (DEFAULTS | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset, one in the session's warehouse."""
+    have = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not have:
+        have = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
+        spark.sparkContext.setCheckpointDir(have)
+    return have
