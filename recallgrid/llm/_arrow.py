@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallgrid.session import shared_dir as shared_dir
+
 _CODE = np.arange(256)
 IS_SPACE = np.isin(_CODE, [9, 10, 11, 12, 13, 32])
 IS_UPPER = (_CODE >= 65) & (_CODE <= 90)
@@ -33,8 +34,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _P, dtype=np.uint64)
+def powers(n: int, base: np.uint64 = _P) -> np.ndarray:
+    out = np.full(max(n, 1), base, dtype=np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
@@ -129,22 +130,16 @@ def fresh(df_columns, *bases: str) -> list[str]:
     return out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where it is unset (tests), a folder made here."""
-    have = spark.conf.get("spark.checkpoint.dir", None)
-    if have:
-        return have
-    made = spark.sparkContext.getCheckpointDir()
-    if not made:
-        made = f"file://{tempfile.mkdtemp(prefix='recallgrid-')}"
-        spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def stored_bytes(df: DataFrame, text_col: str) -> int:
+    """Bytes of what ``df`` reads, as the optimizer knows them from its files; where it doesn't, the bytes of the texts."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return known if known < 1 << 60 else df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

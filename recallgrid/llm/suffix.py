@@ -130,7 +130,7 @@ def pile_counts(pile: list[Group], k: int, files: Files) -> list[list[np.ndarray
     begin = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     flat = np.fromiter((names[w] for t in texts for w in t), np.int32, int(begin[-1]))
     who, size, lcp = suffix_order(flat, begin, files)
-    low, high, many = (np.array([x for g in pile for x in v(g)], np.int64) for v in (lambda g: g.low, lambda g: g.high, lambda g: [len(r) for r in g.rows]))
+    low, high, many = (np.array([x for g in pile for x in v(g)], np.int64) for v in (lambda g: g.low, lambda g: g.high, lambda g: g.many))
     first = np.flatnonzero(lcp < k)
     lo, hi, n = np.minimum.reduceat(low[who], first), np.maximum.reduceat(high[who], first), np.add.reduceat(many[who], first)
     of = np.cumsum(lcp < k) - 1
@@ -150,35 +150,29 @@ def pile_counts(pile: list[Group], k: int, files: Files) -> list[list[np.ndarray
 def suffix_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, m: int = M, pile_words: int = PILE_WORDS) -> DataFrame:
     """Spans of ``k`` words or more that two documents at least share, by suffix order and common prefixes.
 
-    Same columns, same words and same treatment of nulls, empty texts and repeated rows as superkmer.repeated_spans.
-    A pile is a set of whole minimiser groups of about ``pile_words`` words: groups share no window, so that a pile has
-    all copies of its windows.
+    Same columns, same words and same treatment of nulls, empty, short and long texts, repeated rows and empty tables as
+    superkmer.repeated_spans. A pile is a set of whole minimiser groups of about ``pile_words`` words: groups share no
+    window, so that a pile has all copies of its windows; a round holds the arrays of one pile.
     """
     folder = posixpath.join(shared_dir(docs.sparkSession), f"bwt-{uuid.uuid4().hex}")
 
-    def count(groups: Iterator[tuple[Group, np.ndarray]], k: int):
+    def count(groups: Iterator[Group], k: int):
         task = TaskContext.get()
         files = None
-        pile, heads, words = [], [], 0
-
-        def done():
-            for g, head, c in zip(pile, heads, pile_counts(pile, k, files)):
-                yield g, head, c
-
+        pile, words = [], 0
         try:
-            for g, head in groups:
-                files = files or Files(f"{folder}/{task.partitionId()}-{task.taskAttemptId()}")
+            for g in groups:
                 if len(g.text) == 1:  # equal strings are one already
-                    yield g, head, windows_shared(g, k)
+                    yield g, windows_shared(g, k)
                     continue
+                files = files or Files(f"{folder}/{task.partitionId()}-{task.taskAttemptId()}")
                 pile.append(g)
-                heads.append(head)
                 words += sum(g.windows) + (k - 1) * len(g.windows)
                 if words >= pile_words:
-                    yield from done()
-                    pile, heads, words = [], [], 0
+                    yield from zip(pile, pile_counts(pile, k, files))
+                    pile, words = [], 0
             if pile:
-                yield from done()
+                yield from zip(pile, pile_counts(pile, k, files))
         finally:
             if files:
                 files.close()
