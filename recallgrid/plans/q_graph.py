@@ -277,7 +277,7 @@ adj AS (SELECT s.i, coalesce(list(other ORDER BY other) FILTER (other IS NOT NUL
 f(i, seen, g) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL
   SELECT i, CASE WHEN led THEN list_concat(seen, list_prepend(i, fresh)) ELSE seen END, CASE WHEN led THEN list_prepend(i, fresh) ELSE [] END
   FROM (SELECT i, seen, fresh, NOT list_contains(seen, i) AND len(fresh) > 0 AS led FROM (SELECT adj.i, f.seen, list_filter(adj.a, lambda x: NOT list_contains(f.seen, x)) AS fresh FROM f JOIN adj ON adj.i = f.i + 1)))
-SELECT m.memory_id, l.memory_id AS group_id FROM (SELECT i, unnest(g) AS member FROM f) JOIN s m ON m.i = member JOIN s l USING (i)""")
+SELECT m.memory_id, l.memory_id AS group_id FROM (SELECT i AS lead, unnest(g) AS member FROM f) u JOIN s m ON m.i = u.member JOIN s l ON l.i = u.lead""")
 def consolidate_similar(spark, sf):
     """Groups of unequal sets, by a fold over all memories in the oracle."""
     m = mem_parts(spark, sf).withColumn("cues", F.reverse(F.array_sort("cues")))
