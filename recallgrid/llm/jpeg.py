@@ -20,7 +20,11 @@ FIELDS = "status string, width int, height int, components int, thumb_width int,
 
 
 class Bad(ValueError):
-    """What is wrong with the bytes, as the status column names it."""
+    """What is wrong with the bytes, as the status column names it, and the frame (width, height, components) if known."""
+
+    def __init__(self, status: str, frame: tuple[int, int, int] | None = None):
+        super().__init__(status)
+        self.frame = frame
 
 
 @functools.lru_cache(maxsize=256)
@@ -38,36 +42,36 @@ def _lookup(table: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parse(data: bytes) -> dict:
-    """Frame, tables and scan place of a baseline JPEG."""
+    """Frame, tables and place of the scan that holds the first component of a baseline JPEG."""
     if len(data) < 4 or data[:2] != b"\xff\xd8":
         raise Bad("not_jpeg")
-    out, at = {"quant": {}, "huff": {}, "restart": 0, "frame": None}, 2
+    out, at, seen = {"quant": {}, "huff": {}, "restart": 0, "frame": None}, 2, None
     while True:
         while at < len(data) and data[at] != 0xFF:
             at += 1
         while at < len(data) and data[at] == 0xFF:
             at += 1
         if at >= len(data):
-            raise Bad("corrupt")
+            raise Bad("corrupt", seen)
         mark = data[at]
         at += 1
         if mark == 0xD9:
-            raise Bad("corrupt")
-        if mark == 0x01 or 0xD0 <= mark <= 0xD8:
+            raise Bad("corrupt", seen)
+        if mark in (0x00, 0x01) or 0xD0 <= mark <= 0xD8:  # 00 and restarts: inside a scan that is passed over
             continue
         if at + 2 > len(data):
-            raise Bad("corrupt")
+            raise Bad("corrupt", seen)
         size = int.from_bytes(data[at : at + 2], "big")
         body, after = data[at + 2 : at + size], at + size
         if size < 2 or after > len(data):
-            raise Bad("corrupt")
+            raise Bad("corrupt", seen)
         if mark == 0xDB:
             k = 0
             while k < len(body):
                 wide, name = body[k] >> 4, body[k] & 15
                 n = 128 if wide else 64
                 if k + 1 + n > len(body):
-                    raise Bad("corrupt")
+                    raise Bad("corrupt", seen)
                 out["quant"][name] = int.from_bytes(body[k + 1 : k + 3], "big") if wide else body[k + 1]  # of DC
                 k += 1 + n
         elif mark == 0xC4:
@@ -76,25 +80,25 @@ def parse(data: bytes) -> dict:
                 n = sum(body[k + 1 : k + 17])
                 out["huff"][body[k]] = bytes(body[k + 1 : k + 17 + n])
                 k += 17 + n
-        elif mark in (0xC0, 0xC1):
+        elif 0xC0 <= mark <= 0xCF and mark not in (0xC8, 0xCC):
             if len(body) < 6 or len(body) < 6 + 3 * body[5]:
                 raise Bad("corrupt")
-            if body[0] != 8:
-                raise Bad("unsupported")
             out["frame"] = (int.from_bytes(body[3:5], "big"), int.from_bytes(body[1:3], "big"), [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])])
-        elif 0xC2 <= mark <= 0xCF and mark != 0xC8 and mark != 0xCC:
-            raise Bad("unsupported")
+            seen = (*out["frame"][:2], body[5])
+            if mark > 0xC1 or body[0] != 8:
+                raise Bad("unsupported", seen)
         elif mark == 0xDD:
             out["restart"] = int.from_bytes(body[:2], "big")
         elif mark == 0xDA:
             if not out["frame"]:
                 raise Bad("corrupt")
             n = body[0] if body else 0
-            if len(body) < 1 + 2 * n:
-                raise Bad("corrupt")
+            if len(body) < 1 + 2 * n or not out["frame"][2]:
+                raise Bad("corrupt", seen)
             out["scan"] = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(n)]
-            out["at"] = after
-            return out
+            if out["frame"][2][0][0] in [c for c, _, _ in out["scan"]]:
+                out["at"] = after
+                return out
         at = after
 
 
@@ -126,20 +130,24 @@ def luminance_dc(data: bytes) -> tuple[int, int, int, np.ndarray]:
     """(width, height, components, one pixel 0 .. 255 for each 8x8 luminance block)."""
     p = parse(data)
     width, height, comps = p["frame"]
+    known = (width, height, len(comps))
     if not width or not height or len(comps) not in (1, 3, 4):
-        raise Bad("unsupported")
+        raise Bad("unsupported", known)
     scan = {c: (dc, ac) for c, dc, ac in p["scan"]}
-    if set(scan) != {c[0] for c in comps}:
-        raise Bad("unsupported")  # one component a scan
+    if not set(scan) <= {c[0] for c in comps}:
+        raise Bad("corrupt", known)
     for c, h, v, q in comps:
-        if not (1 <= h <= 4 and 1 <= v <= 4) or q not in p["quant"] or scan[c][0] not in p["huff"] or 16 + scan[c][1] not in p["huff"]:
-            raise Bad("corrupt")
-    one = len(comps) == 1
-    if one:
-        comps = [(comps[0][0], 1, 1, comps[0][3])]
+        if not (1 <= h <= 4 and 1 <= v <= 4) or (c in scan and (q not in p["quant"] or scan[c][0] not in p["huff"] or 16 + scan[c][1] not in p["huff"])):
+            raise Bad("corrupt", known)
+    quant, (yh, yv) = p["quant"][comps[0][3]], comps[0][1:3]
     hm, vm = max(c[1] for c in comps), max(c[2] for c in comps)
-    mw, mh = -(-width // (8 * hm)), -(-height // (8 * vm))
-    yh, yv = comps[0][1], comps[0][2]
+    bw, bh = -(-width * yh // (8 * hm)), -(-height * yv // (8 * vm))
+    comps = [c for c in comps if c[0] in scan]
+    if len(comps) == 1:  # one component a scan: its blocks row by row, without padding
+        mw, mh, yh, yv = bw, bh, 1, 1
+        comps = [(comps[0][0], 1, 1, comps[0][3])]
+    else:
+        mw, mh = -(-width // (8 * hm)), -(-height // (8 * vm))
     dc = np.zeros((mh * yv, mw * yh), np.int64)
     rest = np.frombuffer(data, np.uint8)[p["at"] :]
     ff = np.flatnonzero(rest[:-1] == 255) if len(rest) > 1 else np.zeros(0, np.int64)
@@ -169,11 +177,11 @@ def luminance_dc(data: bytes) -> tuple[int, int, int, np.ndarray]:
                 size, sym, go = b.steps(dct)
                 at = bit - base
                 if bit >= b.bits or not go[at]:
-                    raise Bad("corrupt")
+                    raise Bad("corrupt", known)
                 s = sym[at]
                 if s:
                     if s > 15:
-                        raise Bad("corrupt")
+                        raise Bad("corrupt", known)
                     val = at + size[at]
                     v = int(b.peek[val]) >> (16 - s) if val < len(b.peek) else 0
                     before[i] += v if v >> (s - 1) else v - (1 << s) + 1
@@ -184,7 +192,7 @@ def luminance_dc(data: bytes) -> tuple[int, int, int, np.ndarray]:
                 k, n = 1, len(go)
                 while k < 64:
                     if at >= n or not go[at]:
-                        raise Bad("corrupt")
+                        raise Bad("corrupt", known)
                     s = sym[at]
                     at += go[at]
                     if s == 0:
@@ -192,13 +200,12 @@ def luminance_dc(data: bytes) -> tuple[int, int, int, np.ndarray]:
                     k += 16 if s == 0xF0 else (s >> 4) + 1
                 bit = base + at
                 if bit > b.bits:
-                    raise Bad("corrupt")
+                    raise Bad("corrupt", known)
         mcu += per
     if mcu < total:
-        raise Bad("corrupt")
-    bw, bh = -(-width * yh // (8 * hm)), -(-height * yv // (8 * vm))
-    pix = np.clip(np.rint(dc[:bh, :bw] * p["quant"][comps[0][3]] / 8 + 128), 0, 255).astype(np.uint8)
-    return width, height, len(comps), pix
+        raise Bad("corrupt", known)
+    pix = np.clip(np.rint(dc[:bh, :bw] * quant / 8 + 128), 0, 255).astype(np.uint8)
+    return *known, pix
 
 
 def dhash(pix: np.ndarray) -> int:
@@ -220,21 +227,22 @@ def dhash(pix: np.ndarray) -> int:
 
 
 def describe(data: bytes | None) -> tuple:
-    """The FIELDS of one value; all but status are null unless it is ok."""
+    """The FIELDS of one value; unless it is ok, all but status and what a frame header says of the size are null."""
     if data is None:
         return ("null", *[None] * 7)
     try:
         w, h, n, pix = luminance_dc(data)
     except Bad as e:
-        return (str(e), *[None] * 7)
+        return (str(e), *(e.frame or [None] * 3), *[None] * 4)
     return ("ok", w, h, n, pix.shape[1], pix.shape[0], dhash(pix), hashlib.md5(pix.tobytes()).hexdigest())
 
 
 def media_columns(df: DataFrame, media_col: str, id_col: str) -> DataFrame:
     """(id_col, FIELDS) of every row: dimensions, thumbnail size and hashes of a binary column.
 
-    status: ok, null, not_jpeg, unsupported (progressive, arithmetic, 12 bits, one component a scan) or corrupt (cut or
-    broken; empty bytes are not_jpeg). Only the two columns are read; rows that repeat are described each.
+    status: ok, null, not_jpeg, unsupported (progressive, arithmetic, 12 bits) or corrupt (cut or broken; empty bytes are
+    not_jpeg). Dimensions are there whenever the frame header is. Only the two columns are read, large values whole; rows
+    that repeat are described each; an empty table gives no row.
     """
     kind = df.schema[id_col].dataType.simpleString()
 

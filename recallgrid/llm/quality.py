@@ -180,14 +180,16 @@ def with_score(docs: DataFrame, model: Trees, text_col: str, out: str) -> DataFr
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(doc_id, quality_score, is_kept) of every row; null and empty texts score 0 and aren't kept."""
+    """(doc_id, quality_score, is_kept) of every row; null and empty texts score 0 and aren't kept. Rows that repeat are
+    scored each, texts of any length whole; an empty table gives no row, and without labels every score is 0.5."""
     model = train(docs, labels, id_col, text_col, **how)
     one = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return with_score(one, model, "text", "quality_score").select("doc_id", "quality_score", (F.col("quality_score") >= model.threshold).alias("is_kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, all columns, that quality_scores keeps."""
+    """The rows of ``docs``, all columns, that quality_scores keeps: null and empty texts go, of rows that repeat all stay or
+    none. An empty table stays empty."""
     model = train(docs, labels, id_col, text_col, **how)
     (s,) = fresh(docs.columns, "quality_score")
     return with_score(docs, model, text_col, s).where(F.col(s) >= model.threshold).drop(s)

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm._arrow import IS_DIGIT, IS_LOWER, IS_UPPER, bounded_sample, row_slices, utf8_parts
+from recallgrid.llm._arrow import IS_DIGIT, IS_LOWER, IS_UPPER, bounded_sample, fresh, row_slices, utf8_parts
 
 MIN_RUN, SIDE, HALF = 16, 24, 32
 LENGTH = 2 * SIDE + 2 * HALF
 ALNUM = IS_DIGIT | IS_LOWER | IS_UPPER
 IN_RUN = ALNUM | np.isin(np.arange(256), [ord(c) for c in "+/_=-"])
 SYMBOLS, EMBED, WIDTH, FILTERS, HIDDEN = 98, 8, 5, 24, 16
-SAMPLE_DOCS = 400
+SAMPLE_DOCS, SAMPLE_TEXT_BYTES, RULE_ROWS = 400, 1 << 20, 4000
 
 
 def candidates(raw: np.ndarray, off: np.ndarray, alphabet: np.ndarray = IN_RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,8 +207,8 @@ def by_rule(context: bytes, body: bytes) -> int | None:
     return 0 if not digits or not letters else None
 
 
-def train(sample: list[bytes], seed: int = 11, constructed_rows: int = 8000, recall: float = 0.995, epochs: int = 7) -> Network:
-    """The network; ``sample`` are texts of the corpus. A quarter of the findings is held out for scale and threshold."""
+def train(sample: list[bytes], seed: int = 11, constructed_rows: int = 8000, recall: float = 0.995, epochs: int = 7, rule_rows: int = RULE_ROWS) -> Network:
+    """The network; ``sample`` are texts of the corpus, of whose candidates ``rule_rows`` at most are labelled by rule. A quarter of the findings is held out for scale and threshold."""
     rng = random.Random(seed)
     words = sorted({w.decode() for t in sample for w in re.findall(rb"[a-z]{2,9}", t)}) or ["alpha", "beta", "gamma", "delta", "river", "stone", "light", "house"]
     rows = constructed(rng, constructed_rows, words)
@@ -221,7 +221,7 @@ def train(sample: list[bytes], seed: int = 11, constructed_rows: int = 8000, rec
             if label is not None:
                 own.append((t[max(0, x - 40) : y + 40], x - max(0, x - 40), y - max(0, x - 40), label))
     rng.shuffle(own)
-    rows += own[:4000]
+    rows += own[:rule_rows]
     rng.shuffle(rows)
     off = np.concatenate(([0], np.cumsum([len(r[0]) for r in rows])))
     raw = np.frombuffer(b"".join(r[0] for r in rows), np.uint8)
@@ -250,7 +250,7 @@ def train(sample: list[bytes], seed: int = 11, constructed_rows: int = 8000, rec
 
 
 def _sample(docs: DataFrame, text_col: str, sample_docs: int) -> list[bytes]:
-    some = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
+    some = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null").where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
     return [r[0].encode() for r in bounded_sample(some, "text", sample_docs).collect()]
 
 
@@ -271,8 +271,9 @@ def _scan(arr: pa.Array, net: Network):
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, recall: float = 0.995) -> DataFrame:
     """(doc_id, byte_start, byte_length, score) of every finding in every row; places are bytes of the UTF-8 text.
 
-    Null and empty texts have none. Rows that repeat a doc_id are scanned each. ``sample_docs`` bounds the texts that
-    give words and rule-labelled findings for training.
+    Null and empty texts have none, texts of any length are scanned whole, and an empty table gives no row. Rows that
+    repeat are scanned each; a null doc_id is carried. For training, words and rule-labelled findings come from
+    ``sample_docs`` texts of at most SAMPLE_TEXT_BYTES.
     """
     net = docs.sparkSession.sparkContext.broadcast(train(_sample(docs, text_col, sample_docs), recall=recall))  # some KB
 
@@ -288,7 +289,8 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
 def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", mark: str = "[SECRET]", sample_docs: int = SAMPLE_DOCS, recall: float = 0.995) -> DataFrame:
     """``docs``, all rows and columns, with each finding replaced by ``mark`` and ``size_col`` (if there) set to the new length
-    where the text changed."""
+    where the text changed. Null and empty texts stay as they are, rows that repeat are masked each, texts of any length
+    whole; an empty table stays empty. ``sample_docs`` as in findings."""
     net = docs.sparkSession.sparkContext.broadcast(train(_sample(docs, text_col, sample_docs), recall=recall))
 
     @F.arrow_udf("string")
@@ -306,8 +308,6 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
             out[r] = b"".join([*parts, t[last:]]).decode()
         return pa.array(out, pa.string())
 
-    from recallgrid.llm._arrow import fresh
-
     (m,) = fresh(docs.columns, "masked_text")
     out = docs.withColumn(m, masked(F.col(text_col).cast("string")))
     cols = []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallgrid.llm._arrow import _BYTE_CODE, Words, bounded_sample, mix64, powers, row_slices
+from recallgrid.llm._arrow import _BYTE_CODE, Words, bounded_sample, mix64, powers, row_slices, shared_dir
 
 SAMPLE_ROWS, GRADES = 20_000, 3
 PREFIXES = (5, 6, 7, 8)
@@ -153,7 +153,8 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     want = bounded_sample(lab.where("lab_y = 1"), "lab_id", sample_rows // 2).unionByName(bounded_sample(lab.where("lab_y = 0"), "lab_id", sample_rows // 2))
     have = docs.select(F.col(id_col).cast("bigint").alias("lab_id"), F.col(text_col).cast("string").alias("lab_text")).where("lab_text is not null and lab_text <> ''")
     held = (F.pmod(F.xxhash64("lab_id"), F.lit(5)) == 4).cast("int").alias("held")
-    few = have.join(F.broadcast(want), "lab_id").select("lab_id", "lab_y", held, "lab_text")  # want has sample_rows rows at most
+    shared_dir(docs.sparkSession)
+    few = have.join(F.broadcast(want), "lab_id").select("lab_id", "lab_y", held, "lab_text").checkpoint()  # want has sample_rows rows at most; documents are read once for them
 
     def count(batches):
         for b in batches:
@@ -194,6 +195,7 @@ def severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     expected_severity is the mean grade, 0 to 3; severity_grade the most likely one; is_toxic whether P(grade >= 1)
     reaches the calibrated threshold. Texts without a word (null, empty) have grade 0. Without labels nothing is toxic.
+    Rows that repeat are graded each, texts of any length whole; an empty table gives no row.
     """
     model = train_on(docs, labels, id_col, text_col, sample_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some hundred KB, bounded by the sample

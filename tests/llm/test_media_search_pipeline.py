@@ -33,7 +33,7 @@ def test_round_trip(sampling, restart):
 def test_broken_bytes_have_a_status():
     good = J.page_picture(b"some page" * 40)
     assert J.describe(good)[0] == "ok" and J.describe(None)[0] == "null" and J.describe(b"")[0] == "not_jpeg" and J.describe(b"GIF89a..")[0] == "not_jpeg"
-    assert J.describe(good[: len(good) // 2])[0] == "corrupt" and J.describe(good.replace(b"\xff\xc0", b"\xff\xc2", 1))[0] == "unsupported"
+    assert J.describe(good[: len(good) // 2])[:3] == ("corrupt", *J.describe(good)[1:3]) and J.describe(good.replace(b"\xff\xc0", b"\xff\xc2", 1))[0] == "unsupported"
     r = np.random.default_rng(1)
     for _ in range(300):
         b = bytearray(good)
@@ -41,6 +41,55 @@ def test_broken_bytes_have_a_status():
         assert J.describe(bytes(b))[0] in ("ok", "corrupt", "unsupported", "not_jpeg")
 
 
+def test_a_scan_for_each_component():
+    r = np.random.default_rng(9)
+    w, h = 45, 37
+    y, u = r.integers(0, 256, (48, 48)).astype(float), r.integers(0, 256, (24, 24)).astype(float)
+    body = lambda b: b[b.index(b"\xff\xda") :]
+    one = [J.encode([p], [(1, 1)], a, b, 5) for p, a, b in ((y[:40, :48], w, h), (u, 23, 19), (u[::-1], 23, 19))]
+    both = J.encode([np.pad(y, ((0, 0), (0, 0))), u, u[::-1]], [(2, 2), (1, 1), (1, 1)], w, h, 5)
+    head = both[: both.index(b"\xff\xda")]
+    scans = [body(b)[:-2].replace(b"\xff\xda\x00\x08\x01\x01", b"\xff\xda\x00\x08\x01" + bytes([i + 1]), 1) for i, b in enumerate(one)]
+    got, want = J.luminance_dc(head + scans[1] + scans[0] + scans[2] + b"\xff\xd9"), J.luminance_dc(both)
+    assert got[:3] == want[:3] == (w, h, 3) and (got[3] == want[3]).all()
+
+
+@pytest.mark.parametrize(("width", "height", "quality"), [(64, 48, 0.9), (133, 71, 0.5), (9, 200, 0.75), (8, 8, 0.95)])
+def test_pictures_of_another_writer(spark, width, height, quality):
+    """Files written and read by the JDK's own JPEG codec."""
+    jvm = spark._jvm
+    io = jvm.javax.imageio
+    image = jvm.java.awt.image.BufferedImage(width, height, 1)
+    yy, xx = np.mgrid[:height, :width]
+    rgb = np.stack([128 + 100 * np.sin(xx / 13), 128 + 90 * np.cos(yy / 9), (xx * 3 + yy * 5) % 256], -1).astype(int)
+    for y in range(height):
+        for x in range(width):
+            image.setRGB(x, y, int(rgb[y, x, 0] << 16 | rgb[y, x, 1] << 8 | rgb[y, x, 2]))
+
+    def written(progressive):
+        writer = io.ImageIO.getImageWritersByFormatName("jpeg").next()
+        how = writer.getDefaultWriteParam()
+        how.setCompressionMode(2)
+        how.setCompressionQuality(quality)
+        how.setProgressiveMode(1 if progressive else 0)
+        out = jvm.java.io.ByteArrayOutputStream()
+        stream = io.ImageIO.createImageOutputStream(out)
+        writer.setOutput(stream)
+        writer.write(None, io.IIOImage(image, None, None), how)
+        stream.flush()
+        return bytes(out.toByteArray())
+
+    data = written(False)
+    back = io.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
+    seen = np.array([[back.getRGB(x, y) & 0xFFFFFF for x in range(width)] for y in range(height)])
+    luma = 0.299 * (seen >> 16) + 0.587 * (seen >> 8 & 255) + 0.114 * (seen & 255)
+    w, h, n, pix = J.luminance_dc(data)
+    assert (w, h, n) == (width, height, 3) and pix.shape == (-(-height // 8), -(-width // 8))
+    whole = luma[: height // 8 * 8, : width // 8 * 8].reshape(height // 8, 8, width // 8, 8).mean((1, 3))
+    assert np.abs(pix[: height // 8, : width // 8] - whole).max() <= 3 and np.abs(pix[: height // 8, : width // 8] - whole).mean() < 1
+    assert J.describe(written(True))[:4] == ("unsupported", width, height, 3)
+
+
 def test_long_scans_cross_chunks(monkeypatch):
     p = np.random.default_rng(2).integers(0, 256, (96, 96)).astype(float)
     data = J.encode([p], [(1, 1)], 96, 96, 1)

@@ -51,6 +51,40 @@ def test_flat_trees_are_the_recursive_ones():
     assert ((m.score(x[300:]) > 0.5) == (y[300:] > 0.5)).mean() > 0.9
 
 
+def test_trees_are_grown_as_a_plain_search_would(sf):
+    """Splits by trying every cut of every feature on the rows of each node."""
+    rng = np.random.default_rng(4)
+    n, f, depth, rate, l2, least = 300, 4, 3, 0.2, 1.0, 3.0
+    x = np.round(rng.normal(size=(n, f)), 2).astype(np.float32)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=n) * 0.3) > 0).astype(float)
+    got = Q.grow(x, y, trees=6, depth=depth, bins=16, rate=rate, l2=l2, least=least)
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 17)[1:-1])).astype(np.float32) for j in range(f)]
+    mean = y.mean()
+    margin = np.full(n, np.log(mean / (1 - mean)))
+
+    def grown(rows, level, g, h):
+        if level == depth:
+            return {int(r): -rate * g[rows].sum() / (h[rows].sum() + l2) for r in rows}
+        best, gt, ht = (1e-9, None, None), g[rows].sum(), h[rows].sum()
+        for j in range(f):
+            for c in cuts[j]:
+                left = rows[x[rows, j] <= c]
+                gl, hl = g[left].sum(), h[left].sum()
+                if hl < least / 10 or ht - hl < least / 10:
+                    continue
+                gain = gl**2 / (hl + l2) + (gt - gl) ** 2 / (ht - hl + l2) - gt**2 / (ht + l2)
+                if gain > best[0] + 1e-12:
+                    best = (gain, j, c)
+        go = x[rows, best[1]] > best[2] if best[1] is not None else np.zeros(len(rows), bool)
+        return grown(rows[~go], level + 1, g, h) | grown(rows[go], level + 1, g, h)
+
+    for _ in range(6):
+        p = 1 / (1 + np.exp(-margin))
+        leaf = grown(np.arange(n), 0, p - y, np.maximum(p * (1 - p), 1e-6))
+        margin = margin + np.array([leaf[i] for i in range(n)])
+    assert np.allclose(got.margin(x), margin, atol=1e-9)
+
+
 def test_quality_on_held_out_rows(sf):
     docs, labels = sf
     x, y = Q.labelled_features(docs, labels, "quality")
@@ -124,6 +158,27 @@ def test_gradients(net):
         assert g[k][at] == pytest.approx((up - down) / 2e-4, abs=2e-3)
 
 
+def test_the_forward_pass_is_the_plain_one(net):
+    """The vectorised convolution, maxima and layers against loops over places and filters."""
+    rng = random.Random(12)
+    rows = C.constructed(rng, 4, ["alpha", "beta"])
+    off = np.concatenate(([0], np.cumsum([len(r[0]) for r in rows])))
+    raw = np.frombuffer(b"".join(r[0] for r in rows), np.uint8)
+    sym, zone = C.windows(raw, off, np.arange(4), off[:-1] + [r[1] for r in rows], off[:-1] + [r[2] for r in rows])
+    w, want = net.w, []
+    for s, z in zip(sym, zone):
+        pool = np.zeros((3, C.FILTERS))
+        for at in range(C.LENGTH - C.WIDTH + 1):
+            k = z[at + C.WIDTH // 2]
+            if k < 3:
+                for f in range(C.FILTERS):
+                    v = w["cb"][f] + sum(float(w["e"][s[at + t], e]) * float(w["c"][t * C.EMBED + e, f]) for t in range(C.WIDTH) for e in range(C.EMBED))
+                    pool[k, f] = max(pool[k, f], v)
+        hid = np.maximum(pool.ravel() @ w["h"] + w["hb"], 0)
+        want.append(float(hid @ w["o"] + w["ob"][0]))
+    assert np.allclose(net.logits(sym, zone), want, atol=1e-3)
+
+
 def test_held_out_findings(net):
     rng = random.Random(99)
     rows = C.constructed(rng, 1200, ["river", "stone", "light", "walks", "hills", "quiet"])
@@ -178,6 +233,25 @@ def test_ordinal_fit_orders_grades():
     assert np.corrcoef(np.bincount(row, got[term], n), grade)[0, 1] > 0.85
 
 
+def test_grades_are_those_of_the_formula(spark):
+    """severity() row by row: a sum over the words of a text, and the differences of four sigmoids."""
+    r = random.Random(3)
+    items = [(i, " ".join(r.choice(["stupid", "calm", "river", "stupidly", "fool", "the"]) for _ in range(r.randrange(1, 40)))) for i in range(60)]
+    labels = spark.createDataFrame([(i, int("fool" in t)) for i, t in items], "doc_id bigint, toxic int")
+    d = table(spark, items)
+    m = T.train_on(d, labels)
+    assert len(m.terms)
+    got = {x.doc_id: x for x in T.severity(d, labels).collect()}
+    for i, t in items:
+        _, h, times, words = T.term_block(pa.array([t]))
+        z = sum(float(m.weight[list(m.terms).index(a)]) * np.log1p(n) * np.log1p(400 * n / words[0]) / 4 for a, n in zip(h, times) if a in m.terms)
+        p = [1.0, *(1 / (1 + np.exp(-(z - c))) for c in m.cuts), 0.0]
+        grades = [p[k] - p[k + 1] for k in range(4)]
+        assert got[i].p_toxic == pytest.approx(p[1], abs=1e-5) and got[i].expected_severity == pytest.approx(sum(k * g for k, g in enumerate(grades)), abs=1e-5)
+        assert got[i].severity_grade == int(np.argmax(grades)) or sorted(grades)[-1] - sorted(grades)[-2] < 1e-5
+        assert got[i].is_toxic == (p[1] >= m.threshold)
+
+
 def test_known_terms_are_those_of_the_block():
     arr = pa.array(["Idiots and idiots, idiotically", None, "", "none of it"])
     row, h, times, words = T.term_block(arr)
