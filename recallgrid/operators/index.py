@@ -105,6 +105,25 @@ def reinforce(memories: DataFrame, events: DataFrame, manual: bool = False) -> D
     return out.withColumn("reinforcement_count", F.col("reinforcement_count") + k).select(*memories.columns)
 
 
+def touched_postings(post: DataFrame, touches: DataFrame) -> DataFrame:
+    """``post`` with the places that reinforcement gives: a memory moves to the front of the lists of the cues that it was
+    reinforced with (``touches``: project_id, memory_id, cues, event_id), value keys too, in the order of the events.
+
+    A moved posting's seq is the greatest seq of all plus the event's number, so that ``positioned`` ranks it first; cues
+    that the memory doesn't have move nothing.
+    """
+    t = touches.select("project_id", "memory_id", "event_id", F.explode(F.flatten(F.transform("cues", index_keys))).alias("cue"))
+    last = t.groupBy("project_id", "memory_id", "cue").agg(F.max("event_id").alias("last"))
+    top = post.groupBy("project_id").agg(F.max("seq").alias("top"))
+    moved = post.join(last, ["project_id", "memory_id", "cue"], "left").join(top, "project_id")
+    return moved.withColumn("seq", F.when(F.col("last").isNotNull(), F.col("top") + 1 + F.col("last")).otherwise(F.col("seq"))).select(*post.columns)
+
+
+def grown_cooccurrence(cooc: DataFrame, touches: DataFrame) -> DataFrame:
+    """``cooc`` with the pairs of each reinforcement's cues (``touches``: project_id, cues) counted on top."""
+    return cooc.unionByName(cooccurrence(touches)).groupBy("project_id", "cue_a", "cue_b").agg(F.sum("n").alias("n"))
+
+
 def episodes(events: DataFrame, gap_s: float = 300.0, overlap: float = 0.5, by: str = "project_id") -> DataFrame:
     """``events`` (by, memory_id, ts, cues, seq) with episode: ``episode:<previous id>`` where the event before is at most
     ``gap_s`` older and shares more than ``overlap`` of this one's cues, else null."""

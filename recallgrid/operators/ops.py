@@ -7,6 +7,7 @@ import resource
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallgrid.functions.seal import decompressed, is_compressed
 from recallgrid.operators.index import postings
 
 
@@ -36,9 +37,20 @@ def encrypted(content: Column, key: Column) -> Column:
     return F.aes_encrypt(content, key, F.lit("GCM"))
 
 
+def opened(plain: Column) -> Column:
+    """Text of what a payload holds: a zstd frame is unpacked; a mark where there is nothing."""
+    text = F.when(is_compressed(plain), decompressed(plain)).otherwise(plain)
+    return F.coalesce(text.cast("string"), F.lit("<decryption failed>"))
+
+
 def readable(payload: Column, key: Column) -> Column:
     """Text of a payload; a mark where it can't be decrypted."""
-    return F.coalesce(F.try_aes_decrypt(payload, key, F.lit("GCM")).cast("string"), F.lit("<decryption failed>"))
+    return opened(F.try_aes_decrypt(payload, key, F.lit("GCM")))
+
+
+def authorized(api_key: Column, keys: tuple[str, ...]) -> Column:
+    """Whether a request's key is one of ``keys``; all are let in where there are none."""
+    return F.coalesce(api_key.isin(*keys), F.lit(False)) if keys else F.lit(True)
 
 
 def metrics_text(metrics: DataFrame) -> DataFrame:
@@ -48,4 +60,9 @@ def metrics_text(metrics: DataFrame) -> DataFrame:
 
 
 def rss_bytes() -> int:
-    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+    """Memory that this process has now (its peak where the system doesn't tell)."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize()
+    except OSError:
+        return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024

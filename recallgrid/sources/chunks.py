@@ -53,11 +53,18 @@ def chunk_files(files: DataFrame, path_col: str = "path", content_col: str = "co
     return files.select(F.col(path_col), F.col(content_col)).mapInArrow(run, SCHEMA)
 
 
-def read_files(spark, path: str, glob: str = "*", ignore: str | None = None) -> DataFrame:
-    """(path, content) of a directory tree; hidden files and paths that match ``ignore`` are left out."""
+def read_files(spark, path: str, glob: str = "*", ignore: str | None = None, gitignore: list[str] | None = None) -> DataFrame:
+    """(path, content) of a directory tree; hidden files, paths that match ``ignore`` and those that the lines of
+    ``gitignore`` (relative to the tree) leave out are not read."""
+    from recallgrid.sources.ignore import ignored
+
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     f = f.where(~F.col("path").rlike(r"/\.[^/]+"))
-    return (f.where(~F.col("path").rlike(ignore)) if ignore else f).select("path", "content")
+    f = f.where(~F.col("path").rlike(ignore)) if ignore else f
+    if gitignore:
+        root = path.rstrip("/").split(":", 1)[-1].lstrip("/")
+        f = f.where(~ignored(F.regexp_replace("path", "^[^:]+:/*" + "".join(f"\\{c}" if not c.isalnum() and c not in "/_" else c for c in root) + "/", ""), gitignore))
+    return f.select("path", "content")
 
 
 def sentences(text: Column) -> Column:

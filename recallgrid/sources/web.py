@@ -101,6 +101,17 @@ def crawl(start: DataFrame, edges: DataFrame, depth: int, same_domain: bool = Tr
     return seen
 
 
+def crawl_counts(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(pages_crawled, links_found, links_skipped) of a crawl of one domain a start: links of the pages that it opens, and
+    those of them that lead to another host, to what isn't HTML, or to a page it has already."""
+    host = lambda c: F.regexp_extract(c, r"^https?://([^/:]+)", 1)
+    seen = crawl(start, edges, depth)
+    links = edges.select(normalize_url(F.col("src")).alias("src"), normalize_url(F.col("dst")).alias("dst")).join(seen.where(F.col("depth") < depth).select(F.col("url").alias("src")), "src")
+    new = links.where(~non_html(F.col("dst")) & (host(F.col("src")) == host(F.col("dst")))).select("dst").distinct().join(start.select(normalize_url(F.col("url")).alias("dst")), "dst", "left_anti")
+    pages, found, opened = seen.agg(F.count("*").alias("pages_crawled")), links.agg(F.count("*").alias("links_found")), new.agg(F.count("*").alias("opened"))
+    return pages.crossJoin(found).crossJoin(opened).select("pages_crawled", "links_found", (F.col("links_found") - F.col("opened")).alias("links_skipped"))  # a row each
+
+
 def web_recall(chunks: DataFrame, query: list[str], limit: int = 10) -> DataFrame:
     """Chunks (id, ord, content, cues) by 10 x common words + 5 x query words within their cues; positive scores only."""
     from recallgrid.functions.text import tokens

@@ -101,6 +101,12 @@ def refresh_heatmap(stream: DataFrame, path: str, seconds: int = 60):
     return stream.writeStream.outputMode("update").foreachBatch(write).trigger(processingTime=f"{seconds} seconds").start()
 
 
+def latency(query, keep: int = 1000) -> dict[str, float]:
+    """Number, mean and 99th percentile (nearest rank) of the batch durations, in ms, of a stream's last ``keep`` batches."""
+    ms = sorted(float(p["durationMs"].get("triggerExecution", 0)) for p in query.recentProgress[-keep:])
+    return {"samples": len(ms), "avg_ms": sum(ms) / len(ms) if ms else 0.0, "p99_ms": ms[max(0, -(-99 * len(ms) // 100) - 1)] if ms else 0.0}
+
+
 def watch(spark: SparkSession, folder: str, glob: str = "*", max_files: int = 1000) -> DataFrame:
     """New and changed files of a folder as (path, modificationTime, content); deletions come from sync.changes."""
     return spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
