@@ -9,8 +9,8 @@ from recallgrid.session import shared_dir
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(node, root): the least node of the connected component of every node in ``pairs`` (a, b), of any type with an
-    order. The edges are cut from their lineage by checkpoint() each round; the rounds grow with the logarithm of the
+    """(node, root): the least node of the connected component of every other node in ``pairs`` (a, b), of any type with
+    an order; roots themselves have no row. The edges are cut from their lineage by checkpoint() each round; the rounds grow with the logarithm of the
     longest path."""
     shared_dir(pairs.sparkSession)
     edges = pairs.where("a <> b").distinct().checkpoint()

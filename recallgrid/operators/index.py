@@ -176,6 +176,7 @@ def consolidate(memories: DataFrame, theta: float = 0.9) -> DataFrame:
     links = pairs.join(x, ["project_id", "a"]).join(y, ["project_id", "b"]).select("project_id", F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.expr("array_contains(keys_b, first_a)").alias("ok")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.expr("array_contains(keys_a, first_b)").alias("ok")))).alias("l")).where("l.ok").select("project_id", "l.src", "l.dst")
     node = lambda c: F.struct("project_id", F.col(c).alias("id"))
     parts = components(links.select(node("src").alias("a"), node("dst").alias("b")))
+    parts = parts.unionByName(parts.select(F.col("root").alias("node"), "root").distinct())
     joined = cls.join(parts.select("node.project_id", "node.id", "root"), ["project_id", "id"]).join(links.groupBy("project_id", F.col("src").alias("id")).agg(F.collect_list("dst").alias("to")), ["project_id", "id"], "left")
 
     def resolve(pdf):

@@ -271,9 +271,9 @@ def consolidate_groups(spark, sf):
 _SIM = f"mem AS (SELECT * REPLACE (list_reverse_sort(cues) AS cues) FROM ({MEM_PARTS})), p AS ({sql_postings()})"
 
 
-@query(f"""WITH RECURSIVE {_SIM}, s AS (SELECT *, row_number() OVER (ORDER BY seq, memory_id) AS i FROM mem),
-j AS (SELECT a.i, b.i AS other FROM s a JOIN p ON p.cue = lower(a.cues[1]) JOIN s b ON b.memory_id = p.memory_id AND b.i <> a.i WHERE len(list_intersect(a.cues, b.cues)) / len(list_distinct(list_concat(a.cues, b.cues))) >= 0.6),
-adj AS (SELECT s.i, coalesce(list(other ORDER BY other) FILTER (other IS NOT NULL), []) AS a FROM s LEFT JOIN j USING (i) GROUP BY 1),
+@query(f"""WITH RECURSIVE {_SIM}, s AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY seq, memory_id) AS i FROM mem),
+j AS MATERIALIZED (SELECT a.i, b.i AS other FROM s a JOIN p ON p.cue = lower(a.cues[1]) JOIN s b ON b.memory_id = p.memory_id AND b.i <> a.i WHERE len(list_intersect(a.cues, b.cues)) / len(list_distinct(list_concat(a.cues, b.cues))) >= 0.6),
+adj AS MATERIALIZED (SELECT s.i, coalesce(list(other ORDER BY other) FILTER (other IS NOT NULL), []) AS a FROM s LEFT JOIN j USING (i) GROUP BY 1),
 f(i, seen, g) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL
   SELECT i, CASE WHEN led THEN list_concat(seen, list_prepend(i, fresh)) ELSE seen END, CASE WHEN led THEN list_prepend(i, fresh) ELSE [] END
   FROM (SELECT i, seen, fresh, NOT list_contains(seen, i) AND len(fresh) > 0 AS led FROM (SELECT adj.i, f.seen, list_filter(adj.a, lambda x: NOT list_contains(f.seen, x)) AS fresh FROM f JOIN adj ON adj.i = f.i + 1)))

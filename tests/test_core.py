@@ -127,7 +127,10 @@ def test_consolidation(spark):
     m = memories(spark, [("x", ["type:report", "month:jan"]), ("y", ["type:report", "month:jan"]), ("z", ["other"])])
     g = I.consolidate(m, 0.6)
     s = I.summaries(m, g).collect()
-    assert g.count() == 1 and "x" in s[0].content and "y" in s[0].content and "type:summary" in s[0].cues and s[0].original_count == 2
+    assert {(r.group_id, r.memory_id) for r in g.collect()} == {("m0", "m0"), ("m0", "m1")}
+    a = memories(spark, [("1", ["a", "b", "c"]), ("2", ["a", "b", "c", "d"]), ("3", ["a", "b", "c", "d", "e"]), ("4", ["a", "b", "c", "d", "e", "f"])])
+    assert {(r.group_id, r.memory_id) for r in I.consolidate(a, 0.75).collect()} == {("m0", "m0"), ("m0", "m1"), ("m2", "m2"), ("m2", "m3")}
+    assert len(s) == 1 and "x" in s[0].content and "y" in s[0].content and "type:summary" in s[0].cues and s[0].original_count == 2
 
 
 def test_budget_skips_and_goes_on(spark):

@@ -25,7 +25,7 @@ def test_query(spark, con, name):
 
 
 def test_every_query_without_sql_is_known():
-    assert sorted(set(QUERIES) - set(SQL)) == ["chunk_files", "chunk_html", "grounded_signature", "page_articles", "page_links", "page_metadata", "web_chunks"]
+    assert sorted(set(QUERIES) - set(SQL)) == ["chunk_files", "chunk_html", "page_articles", "page_links", "page_metadata", "web_chunks"]
 
 
 def test_entry(spark):
