@@ -28,14 +28,6 @@ class Tuning:
     episode_overlap: float = 0.5
 
 
-PROFILES = {
-    "default": {"disable_bg_jobs": False, "read_only": False, "auto_reinforce": True},
-    "read_only": {"disable_bg_jobs": True, "read_only": True, "auto_reinforce": False},
-    "live": {"disable_bg_jobs": False, "read_only": False, "auto_reinforce": True},
-    "benchmark": {"disable_bg_jobs": True, "read_only": False, "auto_reinforce": False},
-}
-
-
 def layered(*layers: dict, base: Tuning = Tuning()) -> Tuning:
     """Defaults overridden by each layer in turn (file, environment, command line); unknown names are an error."""
     for layer in layers:

@@ -108,15 +108,17 @@ def compressed(column: Column, level: int = 3) -> Column:
 
 
 def decompressed(column: Column) -> Column:
-    """What a zstd frame holds; null where it is broken."""
+    """What a zstd frame holds; null where it is broken or cut off."""
 
     def run(b: bytes) -> bytes | None:
         import zstandard
 
+        frame = zstandard.ZstdDecompressor().decompressobj()
         try:
-            return zstandard.ZstdDecompressor().decompressobj().decompress(b)
+            data = frame.decompress(b)
         except zstandard.ZstdError:
             return None
+        return data if frame.eof else None
 
     return _each(column, run)
 

@@ -77,6 +77,8 @@ def recall(
     cap = min(limit * t.scan_factor, t.scan_max)
     if scan_cap:
         x = x.join(x.where(F.col("pos") < cap).select("project_id", "memory_id").distinct(), ["project_id", "memory_id"], "left_semi")
+    # by memory before the queries multiply them: what is added up and the statistics then meet where they are
+    x = x.repartition(int(memories.sparkSession.conf.get("spark.sql.shuffle.partitions")), "project_id", "memory_id")
     total = memories.groupBy("project_id").agg(F.count("*").alias("total"))
     m = x.join(q, on).join(F.broadcast(total), "project_id")  # a row per project
     r = S.ratio(F.col("pos"), F.col("len"))

@@ -27,18 +27,8 @@ def _stats(df: DataFrame, seq: str = "seq") -> DataFrame:
 _STATS = f"1.0::DOUBLE AS intrinsic_salience, (seq % 7) / 7.0 AS dynamic_salience, {NOW} - (seq % 48) * 600 AS last_boosted_at, seq % 13 AS reinforcement_count"
 
 
-def mem_docs(spark, sf_dir) -> DataFrame:
-    d = read(spark, sf_dir, "documents").where("text is not null")
-    return _stats(d.select(F.lit("docs").alias("project_id"), F.concat(F.lit("doc:"), "doc_id").alias("memory_id"), F.col("text").alias("content"), T.cues(F.col("text")).alias("cues"), F.col("doc_id").alias("seq"), (F.col("doc_id") + F.lit(1704067200)).cast("double").alias("created_at"), "source", "lang"))
-
-
-MEM_DOCS = f"""SELECT *, {_STATS} FROM (
-  SELECT 'docs' AS project_id, 'doc:' || doc_id AS memory_id, text AS content, list_distinct(list_concat({T.sql_tokens("text")}, {T.sql_phrases("text")}[1:0])) AS cues,
-         doc_id AS seq, (doc_id + 1704067200)::DOUBLE AS created_at, source, lang FROM documents WHERE text IS NOT NULL)"""
-
-
 def mem_doc_tokens(spark, sf_dir) -> DataFrame:
-    """As mem_docs, with single tokens as cues."""
+    """Documents with the tokens of their texts as cues."""
     d = read(spark, sf_dir, "documents").where("text is not null")
     return _stats(d.select(F.lit("docs").alias("project_id"), F.concat(F.lit("doc:"), "doc_id").alias("memory_id"), F.col("text").alias("content"), T.tokens(F.col("text")).alias("cues"), F.col("doc_id").alias("seq"), (F.col("doc_id") + F.lit(1704067200)).cast("double").alias("created_at"), "source", "lang"))
 
