@@ -5,6 +5,8 @@ Output columns: path, ord, content, start_line, end_line, context, cues, categor
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,18 +39,44 @@ def category(path: Column) -> Column:
     return F.when(low.rlike("swagger|openapi"), F.lit("ApiSpec")).when(low.rlike("whatsapp|instagram|youtube"), F.lit("Conversation")).otherwise(F.coalesce(_choose(extension(path), CATEGORIES), F.lit("Prose")))
 
 
+def _array(values: tuple, kind: pa.DataType) -> pa.Array:
+    """Half characters, which escapes of JSON and YAML can make and UTF-8 can't hold, become U+FFFD."""
+    whole = lambda v: v.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if isinstance(v, str) else [whole(x) for x in v] if isinstance(v, list) else v
+    try:
+        return pa.array(values, kind)
+    except UnicodeEncodeError:
+        return pa.array([whole(v) for v in values], kind)
+
+
+def batched(rows: Iterable[tuple], schema: pa.Schema, most_rows: int = 2000, most_chars: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """``rows`` in Arrow batches of bounded rows and characters, so that a worker never holds what a whole input batch gives."""
+    have, size = [], 0
+    for r in rows:
+        have.append(r)
+        size += sum(len(v) if isinstance(v, str) else sum(map(len, v)) if isinstance(v, list) else 0 for v in r)
+        if len(have) >= most_rows or size >= most_chars:
+            yield pa.RecordBatch.from_arrays([_array(c, f.type) for c, f in zip(zip(*have), schema)], schema=schema)
+            have, size = [], 0
+    if have:
+        yield pa.RecordBatch.from_arrays([_array(c, f.type) for c, f in zip(zip(*have), schema)], schema=schema)
+
+
+def input_rows(batches: Iterable[pa.RecordBatch], step: int = 64) -> Iterator[tuple]:
+    """Rows of Arrow batches as Python values, a few at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, step):
+            yield from zip(*(c.to_pylist() for c in b.slice(i, step).columns))
+
+
 def chunk_files(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """Chunks of files (path, content as text or bytes) by their type; a null path or content has none."""
 
     def run(batches):
         from recallgrid.sources.parsers import chunk
 
-        for b in batches:
-            rows = [(p, i, *c) for p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if p is not None and x is not None for i, c in enumerate(chunk(p, x))]
-            names = [f.split()[0] for f in SCHEMA.split(", ")]
-            types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string()]
-            cols = list(zip(*rows)) if rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+        types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string()]
+        schema = pa.schema(list(zip([f.split()[0] for f in SCHEMA.split(", ")], types)))
+        yield from batched(((p, i, *c) for p, x in input_rows(batches) if p is not None and x is not None for i, c in enumerate(chunk(p, x))), schema)
 
     return files.select(F.col(path_col), F.col(content_col)).mapInArrow(run, SCHEMA)
 

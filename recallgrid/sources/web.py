@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recallgrid.sources.chunks import batched, input_rows
+
 NON_HTML = tuple(f".{e}" for e in "avi css dmg exe gif gz ico jpeg jpg js json mov mp3 mp4 pdf png svg tar webp woff xml zip".split())
 
 
@@ -23,11 +25,8 @@ def page_title(html: Column) -> Column:
 
 def _per_page(pages: DataFrame, id_col: str, url_col: str, html_col: str, schema: str, make) -> DataFrame:
     def run(batches):
-        for b in batches:
-            rows = [r for i, u, h in zip(*(b.column(k).to_pylist() for k in range(3))) if h is not None for r in make(i, u or "", h)]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=kinds) if rows else pa.RecordBatch.from_pylist([], schema=kinds)
+        yield from batched((r for i, u, h in input_rows(batches) if h is not None for r in make(i, u or "", h)), kinds)
 
-    names = [f.split()[0] for f in schema.split(", ")]
     to = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     kinds = pa.schema([(f.split()[0], to[f.split()[1]]) for f in schema.split(", ")])
     return pages.select(F.col(id_col).cast("bigint"), F.col(url_col), F.col(html_col)).mapInArrow(run, schema)
