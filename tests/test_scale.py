@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from recallgrid.operators import grounding as G
+from recallgrid.operators import semantic as SE
 
 
 def plan(df):
@@ -23,3 +24,22 @@ def test_selection_is_a_streamed_fold(spark):
             left, place = (left - t, place + 1) if ok else (left, place)
             want[i] = (q, ok, before, place)
     assert {x["rank"]: (x["query_id"], x["chosen"], x["left"], x["place"]) for x in s.collect()} == want
+
+
+def test_neighbours_over_blocks(spark):
+    import random
+
+    rng = random.Random(3)
+    vecs = [[float(rng.randrange(-3, 4)) for _ in range(3)] for _ in range(400)] + [[0.0, 0.0, 0.0], [1.0, 2.0], [1.0, None, 2.0], None]
+    items = spark.createDataFrame(list(enumerate(vecs)), "item_id bigint, vec array<float>")
+    queries = items.where("item_id % 20 = 0 or item_id > 395").withColumnRenamed("item_id", "query_id")
+    df = SE.neighbours(queries, items, 5, 0.2, block=64)
+    assert "NestedLoop" not in plan(df) and "Cartesian" not in plan(df)
+    cos = lambda a, b: (lambda p, q: 0.0 if p < 1e-6 or q < 1e-6 else sum(x * y for x, y in zip(a, b)) / (p * q))(sum(x * x for x in a) ** 0.5, sum(x * x for x in b) ** 0.5)
+    want = []
+    for q in [i for i in range(404) if i % 20 == 0 or i > 395]:
+        if vecs[q] is None or None in vecs[q]:
+            continue
+        got = sorted((-round(c, 9), i, round(c, 6)) for i, v in enumerate(vecs) if i != q and v is not None and None not in v and len(v) == len(vecs[q]) and (c := cos(vecs[q], v)) >= 0.2)
+        want += [(q, i, c, n) for n, (_, i, c) in enumerate(got[:5], 1)]
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
