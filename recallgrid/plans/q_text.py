@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from recallgrid.config import Normalization, Rule, Taxonomy
 from recallgrid.functions import cues as C
+from recallgrid.functions import fast
 from recallgrid.functions import text as T
 from recallgrid.functions.scoring import estimate_tokens, label
 from recallgrid.operators.ops import valid_project
@@ -63,7 +64,7 @@ def rake_phrases(spark, sf):
 @query(_PH.format(ph=T.sql_phrases("text")) + f""", tok AS (SELECT DISTINCT doc_id, unnest({T.sql_tokens('text')}) AS cue FROM documents)
 SELECT doc_id, cue FROM tok UNION SELECT doc_id, phrase FROM g WHERE ord <= 15""")
 def tokenize_to_cues(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.explode(T.cues(F.col("text"))).alias("cue"))
+    return read(spark, sf, "documents").select("doc_id", F.explode(fast.cues(F.col("text"))).alias("cue"))
 
 
 RULES = Normalization(rules=(Rule("dash", "-", "_"), Rule("urgent", "^priority:([0-9])_urgent$", "urgent:$1"), Rule("year_prefix", "^year:(\\d\\d)(\\d\\d)$", "y:$2")))

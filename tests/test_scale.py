@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from recallgrid.functions import fast
+from recallgrid.functions import text as T
 from recallgrid.operators import grounding as G
 from recallgrid.operators import semantic as SE
 
@@ -43,3 +45,20 @@ def test_neighbours_over_blocks(spark):
         got = sorted((-round(c, 9), i, round(c, 6)) for i, v in enumerate(vecs) if i != q and v is not None and None not in v and len(v) == len(vecs[q]) and (c := cos(vecs[q], v)) >= 0.2)
         want += [(q, i, c, n) for n, (_, i, c) in enumerate(got[:5], 1)]
     assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+
+
+TEXTS = [None, "", "Running queries; the children's (Ästhetik) NAÏVE word99abc abc1234567 http://www.ab-c.example.org/x?y=1 z", "İSTANBUL ΣΊΣΥΦΟΣ ½ x² naïve space tab\tnew line_under a|b||c d e f g h", "visits glasses mixing sizes enabling planned tried indices bus agreed being sting", "état-major çedilla ñandú été's don't we'll l'été 中文字 字符 words,more words. more words", "\x1cone\x1ftwo\x85three four\x0bfive six"]
+
+
+def test_lists_of_texts_are_those_of_the_expressions(spark):
+    d = spark.createDataFrame(list(enumerate(TEXTS * 40)), "i int, t string")
+    r = d.select(T.tokens(F.col("t")).alias("a"), fast.tokens(F.col("t")).alias("b"), T.cues(F.col("t")).alias("c"), fast.cues(F.col("t")).alias("d")).collect()
+    assert all(x.a == x.b and x.c == x.d for x in r)
+    words = spark.createDataFrame([(w,) for w in "passes ties flies boxes gas cats running hopping rating fizzed stopped dated seed need thing was his".split()], "w string")
+    assert all(fast.lemma(x.w) == x.l for x in words.select("w", T.lemma(F.col("w")).alias("l")).collect())
+
+
+def test_whole_tables_of_texts_take_the_arrow_functions(spark):
+    from recallgrid.plans.catalog import QUERIES
+
+    assert "ArrowEvalPython" in plan(QUERIES["tokenize_to_cues"](spark, "/root/testdata/sf0.001"))
