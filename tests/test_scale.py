@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from recallgrid.functions import fast
 from recallgrid.functions import text as T
 from recallgrid.operators import grounding as G
+from recallgrid.operators import index as I
+from recallgrid.operators import recall as R
 from recallgrid.operators import semantic as SE
 
 
@@ -62,3 +64,25 @@ def test_whole_tables_of_texts_take_the_arrow_functions(spark):
     from recallgrid.plans.catalog import QUERIES
 
     assert "ArrowEvalPython" in plan(QUERIES["tokenize_to_cues"](spark, "/root/testdata/sf0.001"))
+
+
+def test_recent_postings_sort_only_the_newest_stretches(spark):
+    m = spark.range(1000).selectExpr("'p' AS project_id", "concat('m', id) AS memory_id", "id AS seq", "IF(id % 2 = 0, array('a:x', 'X '), array('b', '', ':')) AS cues")
+    p = I.postings(m)
+    assert {(r.memory_id, r.cue) for r in p.where("seq < 2").collect()} == {("m0", "a:x"), ("m0", "x"), ("m1", "b"), ("m1", ":")}
+    r = I.recent(p, 7, span=4)
+    assert "left_semi" in r._jdf.queryExecution().optimizedPlan().toString().lower().replace("leftsemi", "left_semi")
+    assert sorted((x.cue, x.seq, x.pos) for x in r.where("cue in ('x', 'b')").collect()) == sorted((c, s - 2 * i, i) for c, s in (("x", 998), ("b", 999)) for i in range(7))
+
+
+def test_postings_are_made_once(spark):
+    m = spark.range(10).selectExpr("'p' AS project_id", "concat('m', id) AS memory_id", "id AS seq", "array(concat('a:', id)) AS cues")
+    assert plan(I.postings(m)).count("array_distinct") == 1
+
+
+def test_intersection_orders_no_whole_list(spark):
+    m = spark.range(100).selectExpr("'p' AS project_id", "concat('m', id) AS memory_id", "id AS seq", "IF(id % 3 = 0, array('a', 'b'), array('b')) AS cues")
+    q = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0)], "query_id bigint, cue string, weight double")
+    r = R.recall_intersection(m, q, 2)
+    assert [(x.memory_id, x.score, x.match_integrity) for x in r.orderBy("rank").collect()] == [("m99", 300.0, 1.0), ("m96", 300.0, 1.0)]
+    assert "within" not in r._jdf.queryExecution().optimizedPlan().toString()
