@@ -99,7 +99,7 @@ _BATCH = f"SELECT item_id AS query_id, unnest({T.sql_tokens('text')}) AS cue, 1.
 def recall_batch(spark, sf):
     """Every benchmark passage as a query over all documents, in one plan."""
     q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("cue"), F.lit(1.0).alias("weight"))
-    return R.recall(mem_doc_tokens(spark, sf), q)
+    return R.recall(I.stored(mem_doc_tokens(spark, sf).drop("content")), q)
 
 
 @query(sql_recall(sql_orders(by_segment=True), _values(ORDERS_Q), limit=5))
